@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandmap.llm import simhash, urlfilter
+from strandmap.llm import html, media, mixing, packing, sharding, simhash, urlfilter
+from strandmap.llm.shared import word_count
 
 
 def _table(spark, sf_dir, name):
@@ -44,8 +45,46 @@ FROM parts p LEFT JOIN fits f ON f.page_id = p.page_id AND f.rn = 1
 """
 
 
+def op3_sharding(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    placed = sharding.shard(docs.withColumn("text_crc32", F.coalesce(F.crc32("text"), F.lit(0)).cast("long")), shards=40)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op5_packing(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", word_count(F.col("text")).alias("n_words"))
+    packed = packing.pack(docs, "n_words", budget=8192, buckets=16)
+    return packed.select("doc_id", F.col("length").alias("n_words"), "bucket", "padded", "batch", "place")
+
+
+def op7_media_columns(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return media.read_back(media.with_media(docs))
+
+
+def op9_source_mixing(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("n_words"))
+    mixed = mixing.mix(docs, F.col("n_words"), weights=(3, 1, 2), share=1.5, most=2.0)
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op10_html_extraction(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html.main_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def queries():
-    return {"op1_simhash_dedup": op1_simhash_dedup, "op2_url_filter": op2_url_filter}
+    return {
+        "op1_simhash_dedup": op1_simhash_dedup,
+        "op2_url_filter": op2_url_filter,
+        "op3_sharding": op3_sharding,
+        "op5_packing": op5_packing,
+        "op7_media_columns": op7_media_columns,
+        "op9_source_mixing": op9_source_mixing,
+        "op10_html_extraction": op10_html_extraction,
+    }
 
 
 def oracle_sql():
