@@ -206,9 +206,8 @@ def mix(df: DataFrame, size: Column, weights: Sequence[float] = (3, 1, 2), share
         decided = done if decided is None else decided.union(done)
         left = out.where("_up is null").drop("_up")
         level += 1
-    # The last residual of a source: rounded by a draw of its own.
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit("last"), "_tie"), 11) / F.lit(float(1 << 53))
-    last = left.select("_first", (draw < F.col("_part")).cast("int").alias("_later"))
+    # The last residual of a source has nothing left to pair with: the nearer whole number keeps the source nearest its target.
+    last = left.select("_first", (F.col("_part") >= 0.5).cast("int").alias("_later"))
     decided = last if decided is None else decided.union(last)
     decided = decided.withColumnRenamed("_first", "_group")
     # Both branches read one exchange; only the residual rows, one in a bucket, are joined.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandmap.llm import html, media, mixing, packing, sharding, simhash, urlfilter
+from strandmap.llm import html, media, mixing, packing, quality, sharding, simhash, tokens, urlfilter
 from strandmap.llm.shared import word_count
 
 
@@ -53,12 +53,32 @@ def op3_sharding(spark, sf_dir):
     )
 
 
+#: Scores from here on are label 1.
+QUALITY_CUT = 0.3
+
+
+def op4_quality_classifier(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, quality.training_rows(_table(spark, sf_dir, "labels")))
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return quality.score(docs, model).select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted")
+    )
+
+
 def op5_packing(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", word_count(F.col("text")).alias("n_words"))
     packed = packing.pack(docs, "n_words", budget=8192, buckets=16)
     return packed.select("doc_id", F.col("length").alias("n_words"), "bucket", "padded", "batch", "place")
 
 
+def op6_token_files(spark, sf_dir):
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokens.digest(tokens.write(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op7_media_columns(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return media.read_back(media.with_media(docs))
@@ -80,7 +100,9 @@ def queries():
         "op1_simhash_dedup": op1_simhash_dedup,
         "op2_url_filter": op2_url_filter,
         "op3_sharding": op3_sharding,
+        "op4_quality_classifier": op4_quality_classifier,
         "op5_packing": op5_packing,
+        "op6_token_files": op6_token_files,
         "op7_media_columns": op7_media_columns,
         "op9_source_mixing": op9_source_mixing,
         "op10_html_extraction": op10_html_extraction,
