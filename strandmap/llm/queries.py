@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandmap.llm import html, media, mixing, packing, quality, sharding, simhash, tokens, urlfilter
+from strandmap.llm import hnsw, html, media, mixing, packing, quality, sharding, simhash, tokens, urlfilter
 from strandmap.llm.shared import word_count
 
 
@@ -84,6 +84,12 @@ def op7_media_columns(spark, sf_dir):
     return media.read_back(media.with_media(docs))
 
 
+def op8_embedding_dedup(spark, sf_dir):
+    found = hnsw.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.98)
+    kept = F.coalesce(F.col("vec_id") == F.col("component"), F.lit(True))
+    return found.select("vec_id", "n_links", F.col("component").alias("component_id"), kept.alias("kept"))
+
+
 def op9_source_mixing(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("n_words"))
     mixed = mixing.mix(docs, F.col("n_words"), weights=(3, 1, 2), share=1.5, most=2.0)
@@ -104,6 +110,7 @@ def queries():
         "op5_packing": op5_packing,
         "op6_token_files": op6_token_files,
         "op7_media_columns": op7_media_columns,
+        "op8_embedding_dedup": op8_embedding_dedup,
         "op9_source_mixing": op9_source_mixing,
         "op10_html_extraction": op10_html_extraction,
     }
