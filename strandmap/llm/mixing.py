@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandmap.llm.shared import cut, partitions, schema_with
+from strandmap.llm.shared import cut, partitions, schema_with, written
 
 #: Rows in a bucket of the first level, on average.
 BUCKET_ROWS = 256
@@ -192,9 +192,8 @@ def mix(df: DataFrame, size: Column, weights: Sequence[float] = (3, 1, 2), share
     # _group: rank of the source, then the bucket; a parent's number drops factors of FAN_IN.
     rated = sized.join(rates, sized[source_col].eqNullSafe(F.col("_source"))).drop("_source")
     rated = rated.withColumn("_group", F.shiftleft("_rank", 40) + F.pmod(F.col("_tie"), F.col("_buckets")))
-    first = _rounded(rated, 0)
-    narrow = _rounded(rated.select("_group", "_size", "_part", "_tie"), 0)
-    left = cut(narrow.where("_up is null").select("_group", "_size", "_part", "_tie", F.col("_group").alias("_first")))
+    first = written(_rounded(rated, 0), "mix")
+    left = cut(first.where("_up is null").select("_group", "_size", "_part", "_tie", F.col("_group").alias("_first")))
     deepest = max((t[6] for t in table), default=1)
     decided, level = None, 1
     while deepest > 1:
@@ -210,7 +209,7 @@ def mix(df: DataFrame, size: Column, weights: Sequence[float] = (3, 1, 2), share
     last = left.select("_first", (F.col("_part") >= 0.5).cast("int").alias("_later"))
     decided = last if decided is None else decided.union(last)
     decided = decided.withColumnRenamed("_first", "_group")
-    # Both branches read one exchange; only the residual rows, one in a bucket, are joined.
+    # Only the residual rows, one in a bucket, are joined.
     settled = first.where("_up is not null").withColumn("_later", F.lit(None).cast("int"))
     open_rows = settled.unionByName(first.where("_up is null").join(decided, "_group", "left"))
     copies = (F.col("_whole") + F.coalesce("_up", "_later", F.lit(0))).cast("int")
