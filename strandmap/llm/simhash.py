@@ -9,6 +9,7 @@ verified on all 64 bits.  Links are contracted to components on the executors.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -128,19 +129,19 @@ def ball(width: int, radius: int) -> list[int]:
     return [sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(width), r)]
 
 
-def plan(fps: DataFrame, radius: int) -> list[Part]:
+def plan(fps: DataFrame, radius: int, numbers: tuple[int, ...] = PARTS) -> list[Part]:
     """Parts and thresholds of the least estimated work over distinct fingerprints ``fps(fp)``."""
     n, together = _bit_stats(fps)
     p = np.diag(together) / max(n, 1)
     d = 2 * p * (1 - p)
     ratio = d / np.maximum(1 - d, 1e-9)  # pairs that differ in this bit for each pair that agrees
-    groups = {m: group_bits(n, together, m) for m in PARTS}
+    groups = {m: group_bits(n, together, m) for m in numbers}
     named = [(m, i, bits) for m, gs in groups.items() for i, bits in enumerate(gs)]
     values = fps.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), part_value(F.col("fp"), bits).alias("v")) for k, (_, _, bits) in enumerate(named)])).alias("x"))
     same = values.groupBy("x.k", "x.v").count().groupBy("k").agg(F.sum(F.col("count").cast("double") * F.col("count")).alias("pairs"))
     pairs = {r["k"]: r["pairs"] for r in same.collect()}  # a row for each part
     chosen: tuple[float, list[Part]] | None = None
-    for m in PARTS:
+    for m in numbers:
         costs = []
         for k, (_, _, bits) in enumerate(named):
             if named[k][0] != m:
@@ -257,3 +258,110 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     named = rooted.groupBy("root").agg(F.min("first").alias("component"))
     classes = rooted.join(named, "root").select("fp", "component")
     return rows.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component")
+
+
+# --- similarity of texts ----------------------------------------------------------------------------------------
+
+#: A pair this similar is to be met with this probability by one of its probes.
+MEETS_AT, MEETS = 0.85, 0.95
+
+
+def differing(similarity: float) -> float:
+    """Expected share of differing SimHash bits of two texts whose shingle sets have this Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def sketch_shape(n: int) -> tuple[int, int]:
+    """(bits in a part, 64-bit words in a sketch) for n distinct sketches.
+
+    Parts grow with the table so that buckets stay small; words follow so that similar pairs still meet.
+    """
+    parts = 4 if n < 1 << 24 else 3 if n < 1 << 32 else 2
+    bits = 64 // parts
+    needed = math.log(1 - MEETS) / math.log(1 - (1 - differing(MEETS_AT)) ** bits)
+    return parts, max(math.ceil(needed / parts), 8)
+
+
+def _similar_links(most: int, words: int):
+    """Rows (k, v, a, b, id, sketch) sorted by key -> forest of the pairs within each key that differ in ``most`` bits at most."""
+
+    def work(batches):
+        held, carry = Forest(), None
+        for x in batches:
+            key = [x[c].to_numpy(zero_copy_only=False) for c in ("k", "v", "a", "b", "id")]
+            sketch = np.frombuffer(b"".join(x["sketch"].to_pylist()), "<u8").reshape(-1, words)
+            part = [*key, sketch]
+            if carry is not None:
+                part = [np.concatenate(z) for z in zip(carry, part, strict=True)]
+            if not len(part[0]):
+                continue
+            last = np.ones(len(part[0]), bool)
+            for z in part[:4]:
+                last &= z == z[-1]
+            cut_at = len(last) - int(np.argmin(last[::-1])) if not last.all() else 0
+            carry = [z[cut_at:] for z in part]
+            yield from within([z[:cut_at] for z in part], held)
+        if carry is not None:
+            yield from within(carry, held)
+        yield from held.rest()
+
+    def within(part, held):
+        *key, ids, sketch = part
+        group = np.zeros(len(ids), np.int64)
+        for z in key:
+            group[1:] |= z[1:] != z[:-1]
+        group = np.cumsum(group)
+        at, step = np.arange(len(ids)), 1
+        while len(at):
+            at = at[at + step < len(ids)]
+            at = at[group[at] == group[at + step]]
+            for lo in range(0, len(at), 1 << 16):
+                i = at[lo : lo + (1 << 16)]
+                ok = np.bitwise_count(sketch[i] ^ sketch[i + step]).sum(1, dtype=np.int64) <= most
+                yield from held.add(ids[i[ok]], ids[i[ok] + step])
+            step += 1
+
+    return work
+
+
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, component) of every document with an id: components of the links between texts of this similarity of k-word shingles.
+
+    The similarity of two texts is read off sketches of several SimHash words: the share of differing bits tells the
+    Jaccard similarity within some hundredths.  Each word is searched by the generalised pigeonhole principle, its parts and
+    thresholds being planned as in `links`; candidates are verified on the whole sketch.  A bucket of more than BUCKET
+    sketches is compared in tiles, each of two slices of it, so that no task holds more than two slices and no pair is left out.
+    """
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+    parts, words = sketch_shape(docs.count())
+
+    def sketch(batches):
+        for x in batches:
+            own = simhash(*text_bytes(x["text"]), k, words).astype("<u8")
+            yield pa.RecordBatch.from_arrays([x["id"], pa.array([r.tobytes() for r in own], pa.binary())], ["id", "sketch"])
+
+    own = cut(rows.mapInArrow(sketch, "id long, sketch binary"))
+    distinct = cut(own.groupBy("sketch").agg(F.min("id").alias("id")))
+    as_long = [F.expr(f"cast(conv(hex(reverse(substring(sketch, {8 * w + 1}, 8))), 16, -10) as bigint)") for w in range(words)]
+    probes, at = [], 0
+    wide = cut(distinct.select("id", "sketch", *[c.alias(f"w{i}") for i, c in enumerate(as_long)]))
+    for w in range(words):
+        for p in plan(wide.select(F.col(f"w{w}").alias("fp")), parts - 1, (parts,)):
+            if p.threshold >= 0:
+                value = part_value(F.col(f"w{w}"), p.bits)
+                probes += [F.struct(F.lit(at).alias("k"), value.bitwiseXOR(F.lit(m).cast("long")).alias("v")) for m in ball(len(p.bits), p.threshold)]
+            at += 1
+    zero = F.lit(0).cast("long")
+    keyed = wide.select("id", "sketch", F.explode(F.array(*probes)).alias("x")).select("x.k", "x.v", "id", "sketch")
+    hot = cut(keyed.groupBy("k", "v").count().where(F.col("count") > BUCKET))
+    rest = keyed.select("k", "v", zero.alias("a"), zero.alias("b"), "id", "sketch")
+    if not hot.isEmpty():
+        slices = hot.select("k", "v", F.ceil(F.col("count") / BUCKET).cast("long").alias("n"))
+        tiled = keyed.join(slices, ["k", "v"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("n"))).withColumn("other", F.explode(F.sequence(zero, F.col("n") - 1)))
+        tiled = tiled.select("k", "v", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "id", "sketch")
+        rest = rest.join(hot.select("k", "v"), ["k", "v"], "left_anti").select("k", "v", "a", "b", "id", "sketch").union(tiled)
+    dealt = rest.repartition(partitions(docs), "k", "v", "a", "b").sortWithinPartitions("k", "v", "a", "b", "id")
+    edges = dealt.mapInArrow(_similar_links(int(64 * words * differing(similarity)), words), "a long, b long")
+    found = components(edges).select(F.col("id").alias("first"), "component")
+    classes = distinct.join(found, distinct["id"] == found["first"], "left").select("sketch", F.coalesce("component", "id").alias("component"))
+    return own.join(classes, "sketch").select(F.col("id").alias(id_col), "component")

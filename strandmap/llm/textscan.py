@@ -151,23 +151,38 @@ def _xxh64(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: np.uint64)
     return h
 
 
-def simhash(values: np.ndarray, offsets: np.ndarray, k: int) -> np.ndarray:
-    """64-bit SimHash of each row: a bit is 1 if set in over half of the row's k-word shingle hashes."""
-    out = np.zeros(len(offsets) - 1, np.uint64)
+def simhash(values: np.ndarray, offsets: np.ndarray, k: int, words: int = 1) -> np.ndarray:
+    """64-bit SimHash of each row: a bit is 1 if set in over half of the row's k-word shingle hashes.
+
+    With more ``words`` the result is (rows, words): the first is as above, others are of the same hashes mixed anew.
+    """
+    out = np.zeros((len(offsets) - 1, words), np.uint64)
     for lo, hi in slices(offsets):
-        words = Words(values[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-        start, end, per_row = words.shingles(k)
-        ones = np.zeros((hi - lo, 64), np.int64)
+        scan = Words(values[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        start, end, per_row = scan.shingles(k)
+        ones = np.zeros((hi - lo, words, 64), np.int64)
         base = np.zeros(hi - lo + 1, np.int64)
         np.cumsum(per_row, out=base[1:])
         for a in range(0, len(start), WINDOWS):
             b = min(a + WINDOWS, len(start))
-            h = xxh64(words.buf, start[a:b], end[a:b])
-            bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            h = xxh64(scan.buf, start[a:b], end[a:b])
             r0, r1 = int(np.searchsorted(base, a, "right")) - 1, int(np.searchsorted(base, b, "left"))
             rows = np.flatnonzero(per_row[r0:r1]) + r0
-            # Sums of up to 255 uint8 rows do not overflow after widening; reduceat widens per block.
-            ones[rows] += np.add.reduceat(bits, np.maximum(base[rows], a) - a, axis=0, dtype=np.int32)
-        on = 2 * ones > per_row[:, None]
-        out[lo:hi] = np.packbits(on, axis=1, bitorder="little").view("<u8").ravel()
-    return out
+            at = np.maximum(base[rows], a) - a
+            for w in range(words):
+                bits = np.unpackbits(_mixed(h, w).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                ones[rows, w] += np.add.reduceat(bits, at, axis=0, dtype=np.int32)
+        on = 2 * ones > per_row[:, None, None]
+        out[lo:hi] = np.packbits(on, axis=2, bitorder="little").view("<u8")[:, :, 0]
+    return out[:, 0] if words == 1 else out
+
+
+def _mixed(h: np.ndarray, w: int) -> np.ndarray:
+    """The w-th hash made of a hash; the 0th is itself."""
+    if not w:
+        return h
+    with np.errstate(over="ignore"):
+        h = (h ^ (np.uint64(w) * P1)) * P2
+        h ^= h >> np.uint64(31)
+        h *= P3 | np.uint64(1)
+        return h ^ (h >> np.uint64(29))
