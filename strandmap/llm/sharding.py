@@ -63,7 +63,10 @@ def keys(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ).withColumn("_top", F.shiftright("_k1", SHIFT).cast("int"))
 
 
-_COUNTS = [F.sum("_size").alias("bytes"), F.count("*").alias("rows")] + [f(c).alias(f"{n}{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in _COLS]
+def _counts() -> list:
+    """Bytes and rows of a group of keys, and the least and greatest value of each key column."""
+    ends = [f(c).alias(f"{n}{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in _COLS]
+    return [F.sum("_size").alias("bytes"), F.count("*").alias("rows"), *ends]
 
 
 def _bins(rows, start) -> list[_Bin]:
@@ -80,7 +83,7 @@ def _cumulate(bins: list[_Bin], bytes_before: int, rows_before: int) -> list[_Bi
 
 def splitters(key_table: DataFrame, shards: int, ranges: int, tolerance: float) -> tuple[list[Splitter], list[Splitter], int, int]:
     """Splitters between shards (by bytes), and all splitters (with those of finer ranges, by bytes and rows alike)."""
-    top = key_table.groupBy("_top").agg(*_COUNTS).collect()  # 2 ** TOP_BITS rows at most
+    top = key_table.groupBy("_top").agg(*_counts()).collect()  # 2 ** TOP_BITS rows at most
     bins = _cumulate(_bins(top, lambda r: (r["_top"] << SHIFT, -1, -1)), 0, 0)
     all_bytes, all_rows = sum(b.bytes for b in bins), sum(b.rows for b in bins)
     if not all_rows:
@@ -136,7 +139,7 @@ def splitters(key_table: DataFrame, shards: int, ranges: int, tolerance: float)
             inside = inside.where(F.when(F.col("col") >= i, F.col(c).between(F.col(f"lo{c}"), F.col(f"hi{c}"))).otherwise(True))
         inside = inside.select("at", "_top", "col", "lo", "width", *_COLS, "_size")
         value = F.when(F.col("col") == 0, F.col("_k1")).when(F.col("col") == 1, F.col("_k2")).otherwise(F.col("_k3"))
-        counted = inside.withColumn("_value", value).withColumn("cell", F.expr("(_value - lo) div width")).groupBy("at", "_top", "cell").agg(*_COUNTS)
+        counted = inside.withColumn("_value", value).withColumn("cell", F.expr("(_value - lo) div width")).groupBy("at", "_top", "cell").agg(*_counts())
         rows: dict[int, list] = {}
         for r in counted.collect():  # CELLS rows at most for each unresolved splitter
             rows.setdefault(r["at"], []).append(r)
