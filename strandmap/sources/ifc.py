@@ -47,6 +47,11 @@ def rows(text: str, entity: str, strict: bool = False) -> Iterator[tuple]:
 
 def load(path: str, entity: str, spark: SparkSession, strict: bool = False) -> DataFrame:
     """A lazy frame of an entity's rows; the path may name many files."""
+    return from_texts(spark.read.text(path, wholetext=True), entity, strict)
+
+
+def from_texts(texts: DataFrame, entity: str, strict: bool = False) -> DataFrame:
+    """Rows of an entity in whole files, one in each row of column ``value``."""
     fields = ENTITIES[entity][1]
     schema = T.StructType([T.StructField(n, SPARK_TYPES[t]) for n, _, t in fields])
     kinds = [pa.float64() if t is FLOAT else pa.string() for _, _, t in fields]
@@ -66,4 +71,4 @@ def load(path: str, entity: str, spark: SparkSession, strict: bool = False) -> D
         columns = zip(*found, strict=True) if found else [()] * len(fields)
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], [n for n, _, _ in fields])
 
-    return spark.read.text(path, wholetext=True).mapInArrow(work, schema)
+    return texts.mapInArrow(work, schema)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
 from strandmap.errors import EvaluationFault, InvalidArgument
 from strandmap.functions import strings
 from strandmap.operators.frame import Frame
 from strandmap.registry import ANY, Function, Provided, Provider, ProviderArg, ProviderContext, Registry
 from strandmap.sinks.rdf import serialize
 from strandmap.sinks.report import write_csv
-from strandmap.sources import csv, ifc, paths, shex
+from strandmap.sources import csv, ifc, parquet, paths, shex
 from strandmap.types import STRING, UNIT, VALIDATION_ERROR, Named, Record
 
 
@@ -36,6 +38,13 @@ def _csv(ctx: ProviderContext, args: dict) -> Provided:
     return Provided(record, lambda rt: Frame(csv.load(path, record, rt.spark, **options), record=record))
 
 
+def _parquet(ctx: ProviderContext, args: dict) -> Provided:
+    path = args["path"] if "://" in args["path"] else os.path.abspath(os.path.join(ctx.base or "", args["path"]))
+    record = parquet.record(path, ctx.type_name, ctx.spark)
+    record.params = ctx.params
+    return Provided(record, lambda rt: Frame(parquet.load(path, record, rt.spark), record=record))
+
+
 def _ifc(ctx: ProviderContext, args: dict) -> Provided:
     record = ifc.record(args["entity"], ctx.type_name)
     path = paths.checked(args["path"], "ifc", ctx.base)
@@ -75,8 +84,6 @@ def _report(rt, types, rows, path):
 
 
 def _at(rt, path: str) -> str:
-    import os
-
     return path if "://" in path else os.path.abspath(os.path.join(rt.base or "", path))
 
 
@@ -88,6 +95,7 @@ def standard() -> Registry:
     """A registry with all providers and modules of the language."""
     r = Registry()
     r.provider("csv", Provider("both", [ProviderArg("path", str, required=True), ProviderArg("delimiter", str, ","), ProviderArg("has_header", bool, True)], _csv))
+    r.provider("parquet", Provider("both", [ProviderArg("path", str, required=True)], _parquet))
     r.provider("ifc", Provider("data", [ProviderArg("path", str, required=True), ProviderArg("entity", str, required=True), ProviderArg("strict", bool, False)], _ifc))
     r.provider("shex", Provider("schema", [ProviderArg("path", str, required=True), ProviderArg("shape", str, required=True)], _shex, _shex_identity))
     text = ("text", STRING)
