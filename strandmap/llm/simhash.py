@@ -24,6 +24,8 @@ from strandmap.llm.textscan import simhash, text_bytes
 
 #: A bucket of more rows than this is not compared pairwise; its fingerprints go the exact way of `_hot_links`.
 BUCKET = 4096
+#: Weaker correlations of two bits than this don't bring them together.
+CORRELATED = 0.2
 #: Numbers of parts among which the plan chooses.
 PARTS = (2, 3, 4)
 
@@ -53,40 +55,40 @@ class Part:
     threshold: int
 
 
-def _bit_stats(fps: DataFrame) -> tuple[int, np.ndarray]:
-    """Number of fingerprints and the 64 x 64 counts of bits set together, added up on the executors."""
+def _bit_stats(fps: DataFrame, columns: list[str]) -> tuple[int, np.ndarray]:
+    """Number of fingerprints, and for each column the 64 x 64 counts of bits set together, added up on the executors."""
+    size = len(columns) * 4096
 
     def work(batches):
-        total, n = np.zeros((64, 64)), 0
+        total, n = np.zeros((len(columns), 64, 64)), 0
         for x in batches:
-            v = x["fp"].to_numpy(zero_copy_only=False).view(np.uint8).reshape(-1, 8)
-            for lo in range(0, len(v), 1 << 16):
-                bits = np.unpackbits(v[lo : lo + (1 << 16)], axis=1, bitorder="little").astype(np.float32)
-                total += bits.T @ bits
-            n += len(v)
+            for w, c in enumerate(columns):
+                v = x[c].to_numpy(zero_copy_only=False).view(np.uint8).reshape(-1, 8)
+                bits = np.unpackbits(v, axis=1, bitorder="little").astype(np.float32)
+                total[w] += bits.T @ bits
+            n += len(x)
         if n:
             flat = np.append(total.ravel(), n)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], ["i", "c"])
 
-    rows = fps.select("fp").mapInArrow(work, "i long, c double").groupBy("i").agg(F.sum("c").alias("c")).collect()  # at most 4097 rows
-    flat = np.zeros(4097)
-    for r in rows:
-        flat[r["i"]] = r["c"]
-    return int(flat[-1]), flat[:-1].reshape(64, 64)
+    rows = fps.select(*columns).mapInArrow(work, "i long, c double").groupBy("i").agg(F.sum("c").alias("c")).toArrow()  # 4096 rows a column
+    flat = np.zeros(size + 1)
+    flat[rows["i"].to_numpy()] = rows["c"].to_numpy()
+    return int(flat[-1]), flat[:-1].reshape(len(columns), 64, 64)
 
 
 def group_bits(n: int, together: np.ndarray, parts: int) -> list[tuple[int, ...]]:
-    """The 64 bits in ``parts`` groups of near equal size, correlated bits together."""
+    """The 64 bits in ``parts`` groups of near equal size, correlated bits together; where none are, neighbours."""
     p = np.diag(together) / max(n, 1)
     cov = together / max(n, 1) - np.outer(p, p)
     sd = np.sqrt(np.maximum(p * (1 - p), 1e-12))
     corr = np.abs(cov / np.outer(sd, sd))
     np.fill_diagonal(corr, 0)
+    corr[corr < CORRELATED] = 0
     left, out = list(range(64)), []
     for g in range(parts):
         width = 64 // parts + (g < 64 % parts)
-        sub = corr[np.ix_(left, left)]
-        group = [left[int(np.argmax(sub.sum(1)))]]
+        group = [left[int(np.argmax(corr[np.ix_(left, left)].sum(1)))]]
         while len(group) < width:
             rest = [b for b in left if b not in group]
             group.append(rest[int(np.argmax(corr[np.ix_(rest, group)].sum(1)))])
@@ -129,36 +131,38 @@ def ball(width: int, radius: int) -> list[int]:
     return [sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(width), r)]
 
 
-def plan(fps: DataFrame, radius: int, numbers: tuple[int, ...] = PARTS) -> list[Part]:
-    """Parts and thresholds of the least estimated work over distinct fingerprints ``fps(fp)``."""
-    n, together = _bit_stats(fps)
-    p = np.diag(together) / max(n, 1)
-    d = 2 * p * (1 - p)
-    ratio = d / np.maximum(1 - d, 1e-9)  # pairs that differ in this bit for each pair that agrees
-    groups = {m: group_bits(n, together, m) for m in numbers}
-    named = [(m, i, bits) for m, gs in groups.items() for i, bits in enumerate(gs)]
-    values = fps.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), part_value(F.col("fp"), bits).alias("v")) for k, (_, _, bits) in enumerate(named)])).alias("x"))
-    same = values.groupBy("x.k", "x.v").count().groupBy("k").agg(F.sum(F.col("count").cast("double") * F.col("count")).alias("pairs"))
+def plan(fps: DataFrame, columns: list[str], radius: int, numbers: tuple[int, ...] = PARTS) -> list[list[Part]]:
+    """For each fingerprint column, parts and thresholds of the least estimated work over the distinct fingerprints ``fps``."""
+    n, together = _bit_stats(fps, columns)
+    named = [(w, m, bits) for w in range(len(columns)) for m in numbers for bits in group_bits(n, together[w], m)]
+    structs = [F.struct(F.lit(k).alias("k"), part_value(F.col(columns[w]), bits).alias("v")) for k, (w, _, bits) in enumerate(named)]
+    values = fps.select(F.explode(F.array(*structs)).alias("x")).select("x.k", "x.v")
+    same = values.groupBy("k", "v").count().groupBy("k").agg(F.sum(F.col("count").cast("double") * F.col("count")).alias("pairs"))
     pairs = {r["k"]: r["pairs"] for r in same.collect()}  # a row for each part
-    chosen: tuple[float, list[Part]] | None = None
-    for m in numbers:
-        costs = []
-        for k, (_, _, bits) in enumerate(named):
-            if named[k][0] != m:
-                continue
-            r = ratio[list(bits)]
-            grow, e = [1.0], [1.0] + [0.0] * radius  # elementary symmetric sums of the ratios
-            for x in r:
-                for j in range(radius, 0, -1):
-                    e[j] += e[j - 1] * x
-            for t in range(1, radius + 1):
-                grow.append(grow[-1] + e[t])
-            costs.append([pairs.get(k, 0.0) * grow[t] + 4.0 * n * len(ball(len(bits), t)) for t in range(radius + 1)])
-        thresholds = allocate(costs, radius)
-        total = sum(c[t] for c, t in zip(costs, thresholds, strict=True) if t >= 0)
-        if chosen is None or total < chosen[0]:
-            chosen = (total, [Part(b, t) for b, t in zip(groups[m], thresholds, strict=True)])
-    return chosen[1]
+    out = []
+    for w in range(len(columns)):
+        p = np.diag(together[w]) / max(n, 1)
+        d = 2 * p * (1 - p)
+        ratio = d / np.maximum(1 - d, 1e-9)  # pairs that differ in this bit for each pair that agrees
+        chosen: tuple[float, list[Part]] | None = None
+        for m in numbers:
+            own = [(k, bits) for k, (w_, m_, bits) in enumerate(named) if (w_, m_) == (w, m)]
+            costs = [_costs(pairs.get(k, 0.0), ratio[list(bits)], n, radius) for k, bits in own]
+            thresholds = allocate(costs, radius)
+            total = sum(c[t] for c, t in zip(costs, thresholds, strict=True) if t >= 0)
+            if chosen is None or total < chosen[0]:
+                chosen = (total, [Part(bits, t) for (_, bits), t in zip(own, thresholds, strict=True)])
+        out.append(chosen[1])
+    return out
+
+
+def _costs(pairs: float, ratio: np.ndarray, n: int, radius: int) -> list[float]:
+    """Estimated candidates and probes of a part at thresholds 0 to radius, from its pairs of equal values and its bits' ratios."""
+    e = [1.0] + [0.0] * radius  # elementary symmetric sums of the ratios: candidates at each distance
+    for x in ratio:
+        for j in range(radius, 0, -1):
+            e[j] += e[j - 1] * x
+    return [pairs * sum(e[: t + 1]) + 4.0 * n * len(ball(len(ratio), t)) for t in range(radius + 1)]
 
 
 # --- probing ----------------------------------------------------------------------------------------------------
@@ -224,7 +228,7 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     """Edges (a, b) between distinct fingerprints ``fps(fp)`` that connect all pairs within ``radius`` bits."""
     if radius not in (1, 2):
         raise ValueError("radius must be 1 or 2: overfull buckets have an exact way only there")
-    parts = [(i, p) for i, p in enumerate(plan(fps, radius)) if p.threshold >= 0]
+    parts = [(i, p) for i, p in enumerate(plan(fps, ["fp"], radius)[0]) if p.threshold >= 0]
     probes = [F.struct(F.lit(i).alias("k"), F.lit(m).cast("long").alias("m")) for i, p in parts for m in ball(len(p.bits), p.threshold)]
     value = F.coalesce(*[F.when(F.col("x.k") == i, part_value(F.col("fp"), p.bits)) for i, p in parts])
     rows = fps.select("fp", F.explode(F.array(*probes)).alias("x"))
@@ -345,8 +349,8 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k
     as_long = [F.expr(f"cast(conv(hex(reverse(substring(sketch, {8 * w + 1}, 8))), 16, -10) as bigint)") for w in range(words)]
     probes, at = [], 0
     wide = cut(distinct.select("id", "sketch", *[c.alias(f"w{i}") for i, c in enumerate(as_long)]))
-    for w in range(words):
-        for p in plan(wide.select(F.col(f"w{w}").alias("fp")), parts - 1, (parts,)):
+    for w, chosen in enumerate(plan(wide, [f"w{w}" for w in range(words)], parts - 1, (parts,))):
+        for p in chosen:
             if p.threshold >= 0:
                 value = part_value(F.col(f"w{w}"), p.bits)
                 probes += [F.struct(F.lit(at).alias("k"), value.bitwiseXOR(F.lit(m).cast("long")).alias("v")) for m in ball(len(p.bits), p.threshold)]
