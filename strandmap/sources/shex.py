@@ -100,7 +100,7 @@ class _Parser:
 
     def iri(self) -> str:
         if self.kind == "iri":
-            return urljoin(self.base, self.next()[1:-1]) if self.base else self.next()[1:-1]
+            return self.resolved(self.next()[1:-1])
         word = self.next()
         if word == "a":
             return RDF_TYPE
@@ -109,6 +109,10 @@ class _Parser:
             raise ParseFault(f"unknown prefix in '{word}'")
         return self.prefixes[prefix] + name
 
+    def resolved(self, iri: str) -> str:
+        """An absolute IRI as it is (also with an empty fragment, which joining would drop), a relative one by the base."""
+        return iri if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", iri) or not self.base else urljoin(self.base, iri)
+
     def label(self) -> str:
         return self.next() if self.kind == "bnode" else self.iri()
 
@@ -120,7 +124,7 @@ class _Parser:
                 prefix = self.next()
                 self.prefixes[prefix.rstrip(":")] = self.iri()
             elif self.take("BASE"):
-                self.base = urljoin(self.base, self.next()[1:-1])
+                self.base = self.resolved(self.next()[1:-1])
             elif self.take("IMPORT"):
                 self.iri()
             elif self.take("START"):
