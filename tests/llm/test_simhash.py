@@ -1,0 +1,161 @@
+"""SimHash fingerprints, planning, links and similar texts against brute force."""
+
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from strandmap.llm import simhash as S
+from strandmap.llm import textscan as T
+from strandmap.llm.components import components, forest
+
+TEXTS = ["", None, "  ", "a", "A b", "a\x0bb c\xa0d e  f" * 3, "é" * 5000 + " x y", " lead and trail ", "\n"] + ["w" * k + " Q" for k in range(1, 70)] + ["one two three four five " * 40]
+
+
+def brute(text: str | None, k: int = 3) -> int:
+    lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", lower)
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_fingerprints():
+    for k in (1, 3, 5):
+        got = T.simhash(*T.text_bytes(pa.array(TEXTS)), k)
+        assert [int(x) for x in got] == [brute(t, k) for t in TEXTS]
+
+
+def test_window_hashes():
+    rng = np.random.default_rng(1)
+    raw = rng.integers(0, 256, 3000, dtype=np.uint8)
+    start = rng.integers(0, 2800, 500)
+    end = start + rng.integers(0, 150, 500)
+    got = T.xxh64(np.append(raw, np.zeros(16, np.uint8)), start, end)
+    assert [int(x) for x in got] == [xxhash.xxh64_intdigest(raw[a:b].tobytes(), 42) for a, b in zip(start, end, strict=True)]
+
+
+def test_sketch_words():
+    got = T.simhash(*T.text_bytes(pa.array(TEXTS)), 3, 4)
+    assert got.shape == (len(TEXTS), 4) and (got[:, 0] == T.simhash(*T.text_bytes(pa.array(TEXTS)), 3)).all() and (got[0] == 0).all()
+    assert len({int(x) for x in got[60]}) == 4
+
+
+def test_words_of_slices():
+    values, offsets = T.text_bytes(pa.array(["ab c", None, "", " d", "e"]).slice(1))
+    assert T.Words(values, offsets).counts.tolist() == [0, 0, 1, 1]
+    assert T.slices(np.array([0, 5, 5, 100, 101]), 10) == [(0, 2), (2, 3), (3, 4)]
+
+
+def test_allocation_is_optimal():
+    from itertools import product
+
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        m, radius = int(rng.integers(1, 5)), 2
+        costs = rng.random((m, radius + 1)).cumsum(1).tolist()
+        got = S.allocate(costs, radius)
+        total = lambda ts: sum(costs[i][t] for i, t in enumerate(ts) if t >= 0)  # noqa: B023, E731
+        every = [t for t in product(range(-1, radius + 1), repeat=m) if sum(t) == radius - m + 1]
+        assert sum(got) == radius - m + 1 and total(got) == pytest.approx(min(map(total, every)))
+
+
+def test_correlated_bits_share_a_part():
+    rng = np.random.default_rng(4)
+    bits = rng.integers(0, 2, (4000, 64)).astype(float)
+    bits[:, 40] = bits[:, 3]
+    groups = S.group_bits(4000, bits.T @ bits, 3)
+    assert sorted(b for g in groups for b in g) == list(range(64)) and any(3 in g and 40 in g for g in groups)
+
+
+def classes(fp: np.ndarray, radius: int) -> dict[int, int]:
+    near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= radius
+    a, b = np.nonzero(near)
+    child, root = forest(a, b)
+    out = {i: i for i in range(len(fp))}
+    return out | dict(zip(child.tolist(), root.tolist(), strict=True))
+
+
+@pytest.mark.parametrize("bucket", [4096, 20])
+def test_links_are_complete(spark, monkeypatch, bucket):
+    """All pairs within 2 bits are connected, also where buckets overflow."""
+    monkeypatch.setattr(S, "BUCKET", bucket)
+    rng = np.random.default_rng(5)
+    seeds = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    near = np.concatenate([seeds[:3].repeat(80) ^ (np.uint64(1) << rng.integers(0, 64, 240, dtype=np.uint64)), seeds, seeds[:20] ^ (np.uint64(5) << np.uint64(20)), seeds[:20] ^ np.uint64(7)])
+    fp = np.unique(near)
+    df = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long")
+    want = classes(fp, 2)
+    found = {r["id"]: r["component"] for r in components(S.links(df)).collect()}
+    signed = fp.view(np.int64).tolist()
+    got = [found.get(x, x) for x in signed]
+    for i, root in want.items():
+        assert got[i] == got[root]
+    assert len(set(got)) == len(set(want.values()))
+
+
+def test_near_duplicates(spark):
+    base = " ".join(f"w{i}" for i in range(300))
+    docs = spark.createDataFrame(
+        [(7, base, "x"), (3, base.upper(), "y"), (5, None, "z"), (9, "", None), (2, "other words here", "x"), (2, "other words here", "x"), (None, base, "n")], "doc_id long, text string, fp string"
+    )
+    rows = {(r["doc_id"], r["component"]) for r in S.near_duplicates(docs).collect()}
+    assert rows == {(7, 3), (3, 3), (None, 3), (5, 5), (9, 5), (2, 2)}
+    assert S.near_duplicates(docs).count() == 7 and S.near_duplicates(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("bucket", [4096, 4])
+def test_similar_texts(spark, monkeypatch, bucket):
+    monkeypatch.setattr(S, "BUCKET", bucket)
+    rng = np.random.default_rng(6)
+    word = lambda n: [f"v{x}" for x in rng.integers(0, 5000, n)]
+    rows, group = [], []
+    for g in range(12):
+        base = word(400)
+        for v in range(5):
+            own = list(base)
+            for at in rng.integers(0, 400, v):
+                own[at] = "changed"
+            rows.append((len(rows), " ".join(own)))
+            group.append(g)
+    rows += [(len(rows) + i, " ".join(word(200))) for i in range(30)]
+    docs = spark.createDataFrame([*rows, (900, None), (901, " "), (None, "a")], "doc_id long, text string")
+    got = {r["doc_id"]: r["component"] for r in S.similar_texts(docs).collect()}
+    for i, g in enumerate(group):
+        assert got[i] == 5 * g
+    assert all(got[i] == i for i in range(60, 90)) and got[901] == 900 and len(got) == 92
+    assert S.similar_texts(docs.limit(0)).count() == 0
+
+
+def test_sketches_grow_with_the_table():
+    assert S.sketch_shape(1000)[0] == 4 and S.sketch_shape(1 << 30)[0] == 3 and S.sketch_shape(1 << 30)[1] > S.sketch_shape(1000)[1]
+    assert S.differing(1.0) == 0
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(0, 50)] + [(100, 90), (90, 95), (7, 7)]
+    df = spark.createDataFrame([*chain, (None, 3)], "a long, b long").repartition(6)
+    got = {r["id"]: r["component"] for r in components(df).collect()}
+    assert got == {i: 0 for i in range(51)} | {90: 90, 95: 90, 100: 90}
+    assert components(df.limit(0)).count() == 0
+
+
+def test_forest():
+    rng = np.random.default_rng(8)
+    a, b = rng.integers(0, 400, 300), rng.integers(0, 400, 300)
+    node, root = forest(a, b)
+    parent = dict(zip(node.tolist(), root.tolist(), strict=True))
+    find = lambda x: parent.get(x, x)
+    assert all(find(x) == find(y) for x, y in zip(a.tolist(), b.tolist(), strict=True)) and all(find(r) == r for r in root.tolist()) and (root < node).all()
+
+
+def test_part_values(spark):
+    bits = (1, 2, 3, 40, 63)
+    x = 0b1010 | 1 << 40 | 1 << 63
+    got = spark.createDataFrame([(x - (1 << 64),)], "fp long").select(S.part_value(F.col("fp"), bits).alias("v")).first()["v"]
+    assert got == 0b11101
