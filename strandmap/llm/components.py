@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmap.llm.shared import cut
+from strandmap.llm.shared import cut, map_arrow
 
 #: Nodes that one task holds before it hands its forest on; later rounds join what is split.
 HELD = 2_000_000
@@ -80,7 +80,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Self-loops and repeated edges change nothing; an empty graph gives no rows; null ends are ignored.
     """
-    e = edges.select("a", "b").where("a <> b").mapInArrow(_contract, "a long, b long")
+    e = map_arrow(edges.select("a", "b").where("a <> b"), _contract, "a long, b long")
     e = cut(e.distinct())
     while True:
         # A forest of stars: each child has one parent, and no parent is a child.

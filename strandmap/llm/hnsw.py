@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandmap.llm.components import Forest, components
-from strandmap.llm.shared import cut, partitions
+from strandmap.llm.shared import cut, map_arrow, partitions
 
 #: Vectors in a shard, and queries that one task asks of one shard.
 SHARD, QUERIES = 16_384, 65_536
@@ -293,7 +293,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
     members = sized.select("label", "dim", own_shard.alias("shard"), each("blocks").alias("block"), F.lit(0).alias("asks"), "rep", "n", "v")
     queries = sized.select("label", "dim", each("shards").alias("shard"), own_block.alias("block"), F.lit(1).alias("asks"), "rep", "n", "v")
     dealt = members.union(queries).repartition(partitions(df), "label", "dim", "shard", "block").sortWithinPartitions("label", "dim", "shard", "block", "asks", "rep")
-    found = cut(dealt.mapInArrow(_ask(threshold), "kind int, a long, b long"))
+    found = cut(map_arrow(dealt, _ask(threshold), "kind int, a long, b long"))
     counts = found.where("kind = 0").groupBy("a").agg((F.sum("b") - 1).alias("n_links"))
     # A query that misses itself still has itself as a member: never less than its own copies.
     edges = found.where("kind = 1").select("a", "b")

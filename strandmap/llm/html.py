@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmap.llm.shared import cut, schema_with
+from strandmap.llm.shared import cut, map_arrow, schema_with
 from strandmap.llm.urlfilter import host_col
 
 #: A subtree is a template if it is on this many pages of its host at least, and on this share of them.
@@ -215,7 +215,7 @@ def templates(pages: DataFrame, host: str = "host", source: str = "html") -> Dat
                 hashes += map(signed, own)
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], ["host", "hash"])
 
-    rows = pages.select(F.coalesce(F.col(host), F.lit("")).alias("host"), F.col(source).alias("html")).mapInArrow(work, "host string, hash long")
+    rows = map_arrow(pages.select(F.coalesce(F.col(host), F.lit("")).alias("host"), F.col(source).alias("html")), work, "host string, hash long")
     counts = cut(rows.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES))
     of_host = counts.where("hash = 0").select("host", F.col("n").alias("pages"))
     found = counts.where("hash <> 0").join(of_host, "host").where(F.col("n") >= F.col("pages") * MIN_SHARE)
@@ -249,4 +249,4 @@ def main_text(pages: DataFrame, url: str = "url", source: str = "html", to: str
                 out.append(Page(s).text(own))
             yield pa.RecordBatch.from_arrays([*x.columns[: len(kept)], pa.array(out, pa.string())], [*kept, to])
 
-    return joined.mapInArrow(work, schema_with(joined.select(*kept), **{to: "string"}))
+    return map_arrow(joined, work, schema_with(joined.select(*kept), **{to: "string"}))

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from strandmap.llm.shared import schema_with
+from strandmap.llm.shared import map_arrow, schema_with
 
 #: Payload bytes in one sample of the container (an access unit of so many 8-bit samples).
 UNIT = 192
@@ -244,7 +244,7 @@ def with_media(df: DataFrame, text: str = "text", to: str = "media", n_bytes: st
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n in made], pa.int64()), pa.array([mux(p) for p, _ in made], pa.binary())], [*kept, n_bytes, to])
 
     out = schema_with(df.select(*kept), **{n_bytes: "long", to: "binary"})
-    return df.mapInArrow(work, out)
+    return map_arrow(df, work, out)
 
 
 INFO = "struct<codec: string, timescale: long, duration_s: double, n_samples: long, n_keyframes: long, keyframes: array<struct<offset: long, bytes: long>>>"
@@ -278,7 +278,7 @@ def probe(df: DataFrame, media: str = "media", to: str = "info") -> DataFrame:
         for x in batches:
             yield pa.RecordBatch.from_arrays([*x.columns, pa.array([info(v.as_py()) for v in x.column(names.index(media))], kind)], [*names, to])
 
-    return df.mapInArrow(work, out)
+    return map_arrow(df, work, out)
 
 
 def read_back(df: DataFrame, media: str = "media") -> DataFrame:
@@ -305,4 +305,4 @@ def read_back(df: DataFrame, media: str = "media") -> DataFrame:
             columns = [pa.array(list(c), f) for c, f in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)] if rows else [pa.array([], f) for f in (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())]
             yield pa.RecordBatch.from_arrays([*(x.column(names.index(c)) for c in kept), *columns], out.names)
 
-    return df.mapInArrow(work, out)
+    return map_arrow(df, work, out)

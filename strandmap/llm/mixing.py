@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandmap.llm.shared import cut, partitions, schema_with, written
+from strandmap.llm.shared import cut, map_arrow, partitions, schema_with, written
 
 #: Rows in a bucket of the first level, on average.
 BUCKET_ROWS = 256
@@ -160,7 +160,7 @@ def _round_groups(names: list[str], level: int):
 
 def _rounded(df: DataFrame, level: int) -> DataFrame:
     df = df.repartition(partitions(df), "_group").sortWithinPartitions("_group", F.desc("_size"), "_tie")
-    return df.mapInArrow(_round_groups(df.columns, level), schema_with(df, _up="int"))
+    return map_arrow(df, _round_groups(df.columns, level), schema_with(df, _up="int"))
 
 
 def mix(df: DataFrame, size: Column, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, source_col: str = "source") -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmap.llm.shared import schema_with
+from strandmap.llm.shared import map_arrow, schema_with
 from strandmap.llm.textscan import Words, slices, text_bytes, xxh64
 
 #: Hashed dimensions: shapes take the first, words the others; the last one counts repeated words.
@@ -109,7 +109,7 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
         total[TERMS] = n
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(TERMS + 1)), pa.array(total)], ["i", "n"])
 
-    rows = docs.select(F.col(text).alias("text")).mapInArrow(work, "i long, n double").groupBy("i").agg(F.sum("n").alias("n")).collect()  # TERMS + 1 rows
+    rows = map_arrow(docs.select(F.col(text).alias("text")), work, "i long, n double").groupBy("i").agg(F.sum("n").alias("n")).collect()  # TERMS + 1 rows
     out = np.zeros(TERMS + 1)
     for r in rows:
         out[r["i"]] = r["n"]
@@ -133,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
                 yield pa.RecordBatch.from_arrays([x.column(1).slice(lo, hi - lo), x.column(2).slice(lo, hi - lo), pa.array(rows, pa.binary())], ["id", "label", "v"])
 
     own = docs.select(F.col(text).alias("text"), F.col(id_col).alias("_id")).join(F.broadcast(chosen), "_id").select("text", F.xxhash64("_id").alias("id"), "_label")
-    table = own.mapInArrow(work, "id long, label int, v binary").orderBy("id", "label", "v").limit(4 * sample).toArrow()
+    table = map_arrow(own, work, "id long, label int, v binary").orderBy("id", "label", "v").limit(4 * sample).toArrow()
     x = np.frombuffer(b"".join(table["v"].to_pylist()), np.float16).reshape(-1, TERMS).astype(np.float32)
     y = table["label"].to_numpy().astype(float) if len(table) else np.zeros(0)
     if not len(x):
@@ -157,7 +157,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", to: str = "score")
             out = [shared.value.score(c) for _, _, c in _blocks(x.column(names.index(text)))]
             yield pa.RecordBatch.from_arrays([*x.columns, pa.array(np.concatenate(out) if out else np.zeros(0))], [*names, to])
 
-    return docs.mapInArrow(work, schema_with(docs, **{to: "double"}))
+    return map_arrow(docs, work, schema_with(docs, **{to: "double"}))
 
 
 def training_rows(labels: DataFrame, id_col: str = "doc_id"):

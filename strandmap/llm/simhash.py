@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandmap.llm.components import Forest, components
-from strandmap.llm.shared import cut, partitions, schema_with
+from strandmap.llm.shared import cut, map_arrow, partitions, schema_with
 from strandmap.llm.textscan import simhash, text_bytes
 
 #: A bucket of more rows than this is not compared pairwise; its fingerprints go the exact way of `_hot_links`.
@@ -43,7 +43,7 @@ def fingerprints(docs: DataFrame, text: str = "text", k: int = 3, to: str = "fp"
             fp = simhash(*text_bytes(x.column(names.index(text))), k)
             yield pa.RecordBatch.from_arrays([*x.columns, pa.array(fp.view(np.int64))], [*names, to])
 
-    return docs.mapInArrow(work, schema_with(docs, **{to: "long"}))
+    return map_arrow(docs, work, schema_with(docs, **{to: "long"}))
 
 
 # --- the plan ---------------------------------------------------------------------------------------------------
@@ -71,7 +71,7 @@ def _bit_stats(fps: DataFrame, columns: list[str]) -> tuple[int, np.ndarray]:
             flat = np.append(total.ravel(), n)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], ["i", "c"])
 
-    rows = fps.select(*columns).mapInArrow(work, "i long, c double").groupBy("i").agg(F.sum("c").alias("c")).toArrow()  # 4096 rows a column
+    rows = map_arrow(fps.select(*columns), work, "i long, c double").groupBy("i").agg(F.sum("c").alias("c")).toArrow()  # 4096 rows a column
     flat = np.zeros(size + 1)
     flat[rows["i"].to_numpy()] = rows["c"].to_numpy()
     return int(flat[-1]), flat[:-1].reshape(len(columns), 64, 64)
@@ -147,7 +147,7 @@ def plan(fps: DataFrame, columns: list[str], radius: int, numbers: tuple[int, ..
         chosen: tuple[float, list[Part]] | None = None
         for m in numbers:
             own = [(k, bits) for k, (w_, m_, bits) in enumerate(named) if (w_, m_) == (w, m)]
-            costs = [_costs(pairs.get(k, 0.0), ratio[list(bits)], n, radius) for k, bits in own]
+            costs = [_costs(pairs.get(k, 0.0), ratio[list(bits)], max(n, 1), radius) for k, bits in own]
             thresholds = allocate(costs, radius)
             total = sum(c[t] for c, t in zip(costs, thresholds, strict=True) if t >= 0)
             if chosen is None or total < chosen[0]:
@@ -221,7 +221,7 @@ def _hot_links(fps: DataFrame) -> DataFrame:
             last = (w[-1:], fp[-1:])
         yield from held.rest()
 
-    return words.mapInArrow(work, "a long, b long")
+    return map_arrow(words, work, "a long, b long")
 
 
 def links(fps: DataFrame, radius: int = 2) -> DataFrame:
@@ -243,7 +243,7 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
         if radius == 1:
             raise ValueError("a bucket overflows at radius 1; use radius 2")
     cold = cold.repartition(partitions(fps), "k", "v").sortWithinPartitions("k", "v")
-    edges = cold.mapInArrow(_bucket_links(radius), "a long, b long")
+    edges = map_arrow(cold, _bucket_links(radius), "a long, b long")
     return edges if more is None else edges.union(more)
 
 
@@ -268,6 +268,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 #: A pair this similar is to be met with this probability by one of its probes.
 MEETS_AT, MEETS = 0.85, 0.95
+#: Standard error of a similarity read off a sketch of eight words; texts are linked from so much below the wanted one.
+MARGIN = 0.03
 
 
 def differing(similarity: float) -> float:
@@ -333,7 +335,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k
 
     The similarity of two texts is read off sketches of several SimHash words: the share of differing bits tells the
     Jaccard similarity within some hundredths.  Each word is searched by the generalised pigeonhole principle, its parts and
-    thresholds being planned as in `links`; candidates are verified on the whole sketch.  A bucket of more than BUCKET
+    thresholds being planned as in `links`; candidates are verified on the whole sketch, with MARGIN for its error.  A bucket of more than BUCKET
     sketches is compared in tiles, each of two slices of it, so that no task holds more than two slices and no pair is left out.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
@@ -344,7 +346,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k
             own = simhash(*text_bytes(x["text"]), k, words).astype("<u8")
             yield pa.RecordBatch.from_arrays([x["id"], pa.array([r.tobytes() for r in own], pa.binary())], ["id", "sketch"])
 
-    own = cut(rows.mapInArrow(sketch, "id long, sketch binary"))
+    own = cut(map_arrow(rows, sketch, "id long, sketch binary"))
     distinct = cut(own.groupBy("sketch").agg(F.min("id").alias("id")))
     as_long = [F.expr(f"cast(conv(hex(reverse(substring(sketch, {8 * w + 1}, 8))), 16, -10) as bigint)") for w in range(words)]
     probes, at = [], 0
@@ -365,7 +367,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k
         tiled = tiled.select("k", "v", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "id", "sketch")
         rest = rest.join(hot.select("k", "v"), ["k", "v"], "left_anti").select("k", "v", "a", "b", "id", "sketch").union(tiled)
     dealt = rest.repartition(partitions(docs), "k", "v", "a", "b").sortWithinPartitions("k", "v", "a", "b", "id")
-    edges = dealt.mapInArrow(_similar_links(int(64 * words * differing(similarity)), words), "a long, b long")
+    edges = map_arrow(dealt, _similar_links(int(64 * words * differing(similarity - MARGIN)), words), "a long, b long")
     found = components(edges).select(F.col("id").alias("first"), "component")
     classes = distinct.join(found, distinct["id"] == found["first"], "left").select("sketch", F.coalesce("component", "id").alias("component"))
     return own.join(classes, "sketch").select(F.col("id").alias(id_col), "component")

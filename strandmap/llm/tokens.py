@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmap.llm.shared import own_folder, partitions
+from strandmap.llm.shared import map_arrow, own_folder, partitions
 
 MAGIC = b"SMPLANE1"
 #: Ids in a block.
@@ -303,7 +303,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, id_col: st
             sink.close()
             yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "first": [first], "n_docs": [len(writer.lengths)], "n_ids": [writer.n_ids]}, pa.schema([("path", pa.string()), ("first", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    files = ordered.mapInArrow(work, "path string, first long, n_docs long, n_ids long").collect()  # a row for each partition
+    files = map_arrow(ordered, work, "path string, first long, n_docs long, n_ids long").collect()  # a row for each partition
     files.sort(key=lambda r: (r["first"] is not None, r["first"]))
     rows, start = [], 0
     for r in files:
@@ -349,4 +349,4 @@ def _read(manifest: DataFrame, with_ids: bool) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return manifest.select("path", "start").repartition(n, "path").mapInArrow(work, schema)
+    return map_arrow(manifest.select("path", "start").repartition(n, "path"), work, schema)

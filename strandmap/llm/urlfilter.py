@@ -19,7 +19,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmap.llm.shared import schema_with
+from strandmap.llm.shared import map_arrow, schema_with
 
 #: Rules up to this many bytes are shipped to every executor; beyond it `judge` joins on the digest instead.
 SHIPPED = 256 << 20
@@ -129,7 +129,7 @@ def judge(urls: DataFrame, rules: Sequence[Rule], url: str = "url", default: str
                     verdict[j], rule[j] = array.stored(i)
             yield pa.RecordBatch.from_arrays([*x.columns, pa.array(rule, pa.string()), pa.array(verdict, pa.string())], [*names, "rule", "verdict"])
 
-    return df.mapInArrow(work, schema_with(df, rule="string", verdict="string"))
+    return map_arrow(df, work, schema_with(df, rule="string", verdict="string"))
 
 
 def _judge_joined(df: DataFrame, spark: SparkSession, rules: Sequence[Rule], lengths: list[int], default: str) -> DataFrame:
