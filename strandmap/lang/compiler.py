@@ -35,12 +35,17 @@ class Program:
         if storage:
             paths.configure(spark, storage)
         outputs = Outputs(spark)
+        # Names of the language differ by case too; plans are analyzed while the program runs.
+        folded = spark.conf.get("spark.sql.caseSensitive")
+        spark.conf.set("spark.sql.caseSensitive", "true")
         try:
             values = Evaluator(self.declared, self.checker, Runtime(spark, outputs, self.base, storage or {})).program(self.statements)
             outputs.commit()
         except BaseException:
             outputs.abort()
             raise
+        finally:
+            spark.conf.set("spark.sql.caseSensitive", folded)
         return values
 
 

@@ -55,7 +55,7 @@ class Evaluator:
         one = self.rt.spark.range(1)
         if isinstance(value, Output):
             if not value.values and not value.args:
-                return Frame(self.rt.spark.createDataFrame([], value.record.schema()), record=value.record)
+                return Frame.empty(self.rt.spark, value.record)
             return Frame(one, [value], value.record)
         if value is None:
             raise EvaluationFault("rows are needed")

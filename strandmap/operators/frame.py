@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmap.errors import ArityMismatch, EvaluationFault, FieldNotFound
@@ -42,6 +42,11 @@ class Frame:
     record: Record | None = None
     """Type of the rows of the source view, where it has a name."""
 
+    @staticmethod
+    def empty(spark: SparkSession, record: Record) -> Frame:
+        """No rows of a record type."""
+        return Frame(spark.createDataFrame([], record.schema()), record=record)
+
     # --- views ---
 
     def mapped(self) -> DataFrame:

@@ -35,8 +35,8 @@ def elements(out: Output, strict: bool) -> list[Column]:
     g = terms.resource(text(out.args[1])) if len(out.args) > 1 else F.lit(None).cast("string")
     null = F.lit(None).cast("string")
 
-    def quad(p: str, value: Column, kind: Column, datatype: Column) -> Column:
-        whole = F.struct(s.alias("subject"), F.lit(p).alias("predicate"), value.alias("object"), kind.alias("object_kind"), datatype.alias("datatype"), null.alias("lang"), g.alias("graph"))
+    def quad(p: str, value: Column, kind: Column, datatype: Column, lang: Column = null) -> Column:
+        whole = F.struct(s.alias("subject"), F.lit(p).alias("predicate"), value.alias("object"), kind.alias("object_kind"), datatype.alias("datatype"), lang.alias("lang"), g.alias("graph"))
         return F.when(s.isNotNull() & value.isNotNull(), whole)
 
     found = []
@@ -52,7 +52,8 @@ def elements(out: Output, strict: bool) -> list[Column]:
             found.append(quad(terms.predicate(f.uri), lexical, F.lit("literal"), F.lit(xsd)))
         else:
             term = terms.object_term(lexical, strict)
-            found.append(quad(terms.predicate(f.uri), term["object"], term["object_kind"], null))
+            lang = F.when(term["object_kind"] == "literal", F.lit(terms.language(f.lang))) if f.lang else null
+            found.append(quad(terms.predicate(f.uri), term["object"], term["object_kind"], null, lang))
     return found
 
 
@@ -91,11 +92,52 @@ def trig_lines(q: DataFrame) -> DataFrame:
     return q.select(F.when(F.col("graph").isNotNull(), F.concat(terms.resource_text(F.col("graph")), F.lit(" { "), body, F.lit(" }"))).otherwise(body).alias("value"))
 
 
+#: Around the lines of formats that are one document: what a file starts and ends with.  The empty node of JSON-LD says nothing.
+JSON_LD = ("[{}\n", "]\n")
+RDF_XML = ('<?xml version="1.0" encoding="UTF-8"?>\n<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#">\n', "</rdf:RDF>\n")
+
+
+def json_lines(q: DataFrame) -> DataFrame:
+    """One node object of expanded JSON-LD per quad, each after a comma."""
+
+    def quoted(c: Column) -> Column:
+        array = F.to_json(F.array(c))
+        return F.substring(array, F.lit(2), F.char_length(array) - 2)
+
+    o, literal = F.col("object"), F.col("object_kind") == "literal"
+    extra = F.when(F.col("lang").isNotNull(), F.concat(F.lit(',"@language":'), quoted(F.col("lang")))).when(F.col("datatype").isNotNull(), F.concat(F.lit(',"@type":'), quoted(F.col("datatype")))).otherwise(F.lit(""))
+    value = F.when(literal, F.concat(F.lit('{"@value":'), quoted(o), extra, F.lit("}"))).otherwise(F.concat(F.lit('{"@id":'), quoted(o), F.lit("}")))
+    is_type = (F.col("predicate") == terms.RDF_TYPE) & ~literal
+    own = F.when(is_type, F.concat(F.lit('"@type":['), quoted(o))).otherwise(F.concat(quoted(F.col("predicate")), F.lit(":["), value))
+    node = F.concat(F.lit('{"@id":'), quoted(F.col("subject")), F.lit(","), own, F.lit("]}"))
+    named = F.concat(F.lit('{"@id":'), quoted(F.col("graph")), F.lit(',"@graph":['), node, F.lit("]}"))
+    return q.select(F.concat(F.lit(","), F.when(F.col("graph").isNotNull(), named).otherwise(node)).alias("value"))
+
+
+def xml_lines(q: DataFrame) -> DataFrame:
+    """One description of RDF/XML per quad; named graphs, and predicates and texts that XML can't write, are errors."""
+
+    def escaped(c: Column) -> Column:
+        for raw, out in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\r", "&#13;"), ("\n", "&#10;"), ("\t", "&#9;")):
+            c = F.replace(c, F.lit(raw), F.lit(out))
+        return c
+
+    fail = lambda why, c: F.raise_error(F.concat(F.lit(why), c)).cast("string")
+    p, o, s = F.col("predicate"), F.col("object"), F.col("subject")
+    split = r"(?s)^(.*?)([A-Za-z_][A-Za-z0-9_.\-]*)$"
+    name = F.regexp_extract(p, split, 2)
+    resource = lambda c, attribute: F.when(c.startswith("_:"), F.concat(F.lit('rdf:nodeID="'), F.substring(c, F.lit(3), F.char_length(c)), F.lit('"'))).otherwise(F.concat(F.lit(f'rdf:{attribute}="'), escaped(c), F.lit('"')))
+    about, target = resource(s, "about"), resource(o, "resource")
+    extra = F.when(F.col("lang").isNotNull(), F.concat(F.lit(' xml:lang="'), F.col("lang"), F.lit('"'))).when(F.col("datatype").isNotNull(), F.concat(F.lit(' rdf:datatype="'), escaped(F.col("datatype")), F.lit('"'))).otherwise(F.lit(""))
+    start = F.concat(F.lit("<p:"), name, F.lit(' xmlns:p="'), escaped(F.regexp_extract(p, split, 1)), F.lit('"'))
+    end = F.concat(F.lit("</p:"), name, F.lit(">"))
+    body = F.when(F.col("object_kind") == "literal", F.concat(start, extra, F.lit(">"), escaped(o), end)).otherwise(F.concat(start, F.lit(" "), target, F.lit("/>")))
+    whole = F.concat(F.lit("<rdf:Description "), about, F.lit(">"), body, F.lit("</rdf:Description>"))
+    bad = F.when(F.col("graph").isNotNull(), fail("this format has no named graphs: ", F.col("graph"))).when(name == "", fail("this format can't write the predicate ", p)).when(o.rlike("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]"), fail("this format can't write a control character of ", s))
+    return q.select(F.coalesce(bad, whole).alias("value"))
+
+
 def with_language(q: DataFrame, lang: str) -> DataFrame:
     """Plain literals tagged with a language."""
-    import re
-
-    if not re.fullmatch(r"[A-Za-z]{1,8}(-[A-Za-z0-9]{1,8})*", lang):
-        raise EvaluationFault(f"'{lang}' is not a language tag")
     plain = (F.col("object_kind") == "literal") & F.col("datatype").isNull()
-    return q.withColumn("lang", F.when(plain, F.lit(lang)).otherwise(F.col("lang")))
+    return q.withColumn("lang", F.when(plain, F.lit(terms.language(lang))).otherwise(F.col("lang")))

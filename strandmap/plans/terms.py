@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from urllib.parse import urlsplit
 
 from pyspark.sql import Column
@@ -50,14 +51,19 @@ def object_term(c: Column, strict: bool = False) -> Column:
 
 def predicate(iri: str) -> str:
     """A predicate known when the plan is built; it must be a valid IRI."""
-    import re
-
     bare = iri[1:-1] if iri.startswith("<") and iri.endswith(">") else iri
     if not re.match(IRI, bare):
         raise InvalidArgument(f"'{iri}' is not a valid predicate IRI")
     return bare
 
 
+def language(tag: str) -> str:
+    """A well-formed language tag."""
+    if not re.fullmatch(r"[A-Za-z]{1,8}(-[A-Za-z0-9]{1,8})*", tag):
+        raise InvalidArgument(f"'{tag}' is not a language tag")
+    return tag
+
+
 def escaped(c: Column) -> Column:
     """The text between the quotes of an N-Quads literal."""
     # The short escapes of N-Triples; other controls are written by their number.

@@ -31,8 +31,8 @@ class Outputs:
         p = self._jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def write_lines(self, df: DataFrame, path: str, head: str = "", layout: str = "auto") -> None:
-        """Write column ``value``; ``layout`` is one file, a folder of parts, or by size.  ``head`` starts a file."""
+    def write_lines(self, df: DataFrame, path: str, head: str = "", layout: str = "auto", tail: str = "") -> None:
+        """Write column ``value``; ``layout`` is one file, a folder of parts, or by size.  ``head`` starts a file, ``tail`` ends it."""
         dest = target(path)
         staged = f"{dest}.staged-{uuid.uuid4().hex}"
         self._staged.append((staged, dest))
@@ -57,6 +57,8 @@ class Outputs:
                         self._jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
                     finally:
                         source.close()
+            if tail:
+                out.write(bytearray(tail.encode()))
         finally:
             out.close()
         fs.delete(folder, True)

@@ -13,7 +13,7 @@ from strandmap.plans import quads as plan
 from strandmap.sinks.output import Outputs
 
 #: Formats by extension.  Turtle and N3 are written as N-Triples, which they include; TriG by one statement a line.
-FORMATS = {"nq": "nq", "nt": "nt", "ttl": "nt", "turtle": "nt", "n3": "nt", "trig": "trig"}
+FORMATS = {"nq": "nq", "nt": "nt", "ttl": "nt", "turtle": "nt", "n3": "nt", "trig": "trig", "jsonld": "json", "json": "json", "rdf": "xml", "xml": "xml", "owl": "xml"}
 
 
 def format_of(path: str) -> str:
@@ -24,18 +24,20 @@ def format_of(path: str) -> str:
 
 
 def lines(quads: DataFrame, format_: str) -> DataFrame:
-    return plan.trig_lines(quads) if format_ == "trig" else plan.lines(quads, graphs=format_ == "nq")
+    own = {"trig": plan.trig_lines, "json": plan.json_lines, "xml": plan.xml_lines}.get(format_)
+    return own(quads) if own else plan.lines(quads, graphs=format_ == "nq")
 
 
 def serialize(frame: Frame, path: str, outputs: Outputs | None = None, distinct: bool = False, strict: bool = False, layout: str = "auto") -> str:
     """Write the quads of all outputs in the format of the path's extension (Turtle without one); gives the path.
 
-    With ``outputs`` the file appears when those are committed, else at once.
+    JSON-LD and RDF/XML are one document and so always one file.  With ``outputs`` the file appears when those are committed, else at once.
     """
     format_ = format_of(path)
     own = outputs or Outputs(frame.source.sparkSession)
     try:
-        own.write_lines(lines(plan.quads(frame, distinct, strict), format_), path, layout=layout)
+        head, tail = {"json": plan.JSON_LD, "xml": plan.RDF_XML}.get(format_, ("", ""))
+        own.write_lines(lines(plan.quads(frame, distinct, strict), format_), path, head, "file" if head else layout, tail)
         if outputs is None:
             own.commit()
     except BaseException:

@@ -6,7 +6,9 @@ import os
 
 from strandmap.errors import EvaluationFault, InvalidArgument
 from strandmap.functions import strings
+from strandmap.functions.scalar import text as as_text
 from strandmap.operators.frame import Frame
+from strandmap.plans import terms
 from strandmap.registry import ANY, Function, Provided, Provider, ProviderArg, ProviderContext, Registry
 from strandmap.sinks.rdf import serialize
 from strandmap.sinks.report import write_csv
@@ -110,6 +112,13 @@ def standard() -> Registry:
             "trim": Function([text], STRING, _pure(strings.trim)),
         },
     )
+    r.module(
+        "Iri",
+        {
+            "encode": Function([text], STRING, _pure(lambda v: terms.encode_iri(as_text(v)))),
+            "resolve": Function([text, ("base", STRING)], STRING, _pure(lambda v, base: terms.resolve_iri(as_text(v), base))),
+        },
+    )
     r.module("Rdf", {"serialize": Function([("rows", ANY), ("filename", STRING)], UNIT, _serialize)})
     r.module("Report", {"csv": Function([("rows", ANY), ("filename", STRING)], UNIT, _report)})
     r.generator(_validation)

@@ -74,6 +74,7 @@ class Attributes:
 @dataclass
 class FieldRdf(Attributes):
     uri: str | None = None
+    lang: str | None = None
 
 
 @dataclass
@@ -100,6 +101,8 @@ class Field:
     uri: str | None = None
     validate: Constraints = field(default_factory=Constraints)
     attributes: dict[str, dict[str, object]] = field(default_factory=dict)
+    lang: str | None = None
+    """Language tag of the field's literals."""
 
 
 @dataclass

@@ -145,7 +145,7 @@ def test_languages_and_encoding(spark):
     f = frame(spark, [("1", "a b/é", 1.0)]).each(lambda r: T(terms.encode_iri(r.a), a=r.a))
     lines = [r[0] for r in plan.lines(plan.with_language(f.to_quads(), "en-GB")).collect()]
     assert '<http://e/a%20b%2F%C3%A9> <http://e/a> "a b/é"@en-GB .' in lines
-    with pytest.raises(EvaluationFault):
+    with pytest.raises(InvalidArgument):
         plan.with_language(f.to_quads(), "not a tag")
     assert value(spark, terms.resolve_iri(F.col("x"), "http://b/"), x="c") == "http://b/c" and value(spark, terms.resolve_iri(F.col("x"), "http://b/"), x="u:c") == "u:c"
 
@@ -212,3 +212,51 @@ def test_streams(spark, tmp_path):
     q = line_stream(made(s), out, str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.read.text(out).count() == 6
+
+
+def test_document_formats(spark, tmp_path):
+    import json
+    import xml.etree.ElementTree as ET
+
+    f = made(frame(spark, [("1", 'a"<&>\né', 1.0), ("_:b", "http://x/y", None)]))
+    f = Frame(f.source, [sm.Output(sm.Record("L", [sm.Field("a", sm.STRING, E + "a", lang="en")], [("id", sm.STRING)]), [F.concat(F.lit(E), F.col("id"))], [("a", F.col("a"))]), *f.outputs])
+    nodes = json.loads(open(serialize(f, str(tmp_path / "o.jsonld"))).read())
+    assert nodes[0] == {} and {"@id": "http://e/1", E + "a": [{"@value": 'a"<&>\né', "@language": "en"}]} in nodes
+    assert {"@id": "http://e/1", "@type": [E + "T"]} in nodes and {"@id": "http://e/1", E + "n": [{"@value": "1", "@type": "http://www.w3.org/2001/XMLSchema#integer"}]} in nodes
+    root = ET.parse(serialize(f, str(tmp_path / "o.rdf"))).getroot()
+    rdf = "{http://www.w3.org/1999/02/22-rdf-syntax-ns#}"
+    found = {(d.get(rdf + "about"), d[0].tag, d[0].get(rdf + "resource"), d[0].text) for d in root}
+    assert ("http://e/1", "{http://e/}a", None, 'a"<&>\né') in found and ("http://e/1", rdf + "type", E + "T", None) in found and len(root) == len(nodes) - 1
+    g = sm.Record("G", [sm.Field("a", sm.STRING, E + "a")], [("id", sm.STRING), ("graph", sm.STRING)], base=E)
+    named = frame(spark, [("1", "v", 1.0)]).each(lambda r: g(r.id, "http://g", a=r.a))
+    assert json.loads(open(serialize(named, str(tmp_path / "g.jsonld"))).read())[1]["@graph"][0]["@id"] == "http://e/1"
+    with pytest.raises(PySparkException):
+        serialize(named, str(tmp_path / "g.rdf"))
+
+
+def test_extension_points(spark, tmp_path):
+    """A provider, a module, a generator, a reference rule and a file reader of one's own."""
+    from strandmap.lang import compile_text
+    from strandmap.registry import Function, Provided, Provider, ProviderArg
+    from strandmap.stdlib import standard
+    from strandmap.types import INT, STRING, Named
+
+    r = standard()
+    record = lambda name: sm.Record(name, [sm.Field("n", INT)])
+    r.provider("numbers", Provider("data", [ProviderArg("to", int, required=True)], lambda ctx, a: Provided(record(ctx.type_name), lambda rt: Frame(rt.spark.range(a["to"]).withColumnRenamed("id", "n"), record=record(ctx.type_name)))))
+    r.module("Math", {"double": Function([("x", INT)], INT, lambda rt, types, x: x * 2)})
+    r.generator(lambda rec: {"few": Function([("rows", Named(rec.name))], Named(rec.name), lambda rt, types, rows: rows.where(F.col("n") < 2))})
+    r.base_of = lambda rec: f"http://own/{rec.name}/"
+    r.read_file = lambda path: "<http://s/S> { <http://s/n> <http://www.w3.org/2001/XMLSchema#integer> }"
+    (tmp_path / "s.shex").write_text("not this")
+    source = """let xs = numbers!(5)
+    type S(id: string) = shex!("s.shex", shape: "S")
+    type L do n: int at: S end
+    xs |> xs.few() |> each r -> L { n = Math.double(r.n), at = ref S("k${r.n}") }"""
+    out = compile_text(source, r, base=str(tmp_path)).run(spark)[-1].mapped()
+    assert sorted(map(tuple, out.collect())) == [(0, "http://own/S/k0"), (2, "http://own/S/k1")]
+    assert Frame.empty(spark, record("E")).source.count() == 0 and STRING
+
+
+def test_rows_of_a_text_format(spark):
+    assert sm.Frame(spark.createDataFrame([("a b", 1)], "`odd name` string, n int")).row()["odd name"] is not None

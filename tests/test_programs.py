@@ -148,3 +148,34 @@ def test_command_line(tmp_path):
     assert r.returncode == 1 and "error[undefined]" in r.stderr and ":2:9" in r.stderr
     bad.write_text("let a = 1\n")
     assert subprocess.run([sys.executable, "-m", "strandmap", "compile", "-p", str(bad)], cwd=root, capture_output=True).returncode == 0
+
+
+def test_several_types_and_constants(spark, tmp_path):
+    """Two record types of one subject, a constant subject in a named graph, encoded templates, relative subjects, languages."""
+    source = """let t = csv!("t.csv")
+    #[rdf(type = "http://example.com/Student", base = "http://example.com/")]
+    type Student(s: string, g: string) do #[rdf(uri = "http://example.com/id")] id: string end
+    #[rdf(type = "http://xmlns.com/foaf/0.1/Person", base = "http://example.com/")]
+    type Person(s: string) do #[rdf(uri = "http://xmlns.com/foaf/0.1/name", lang = "en")] name: string end
+    type Bad(s: string, g: string) do #[rdf(uri = "http://example.com/description")] d: string end
+    type Rel(s: string) do #[rdf(uri = "http://example.com/rel")] d: string end
+    t |> each r -> Student("Student/${r.ID}/${r.Enc}", "http://example.com/graph/${r.ID}") { id = r.ID }
+      +> each r -> Person("Student/${r.ID}/${r.Enc}") { name = r.Name }
+      +> each r -> Bad("http://example.com/BadStudent", "http://example.com/graph/student") { d = "Bad Student" }
+      +> each r -> Rel(Iri.resolve(r.Name, "http://example.com/base/")) { d = "x" }
+      |> Rdf.serialize("out.nq")""".replace("r.Enc}", "r.ID}")
+    got = run(spark, tmp_path, source.replace('"Student/${r.ID}/${r.ID}"', "r.Name |> Iri.encode()"), t="ID,Name\n10,Venus Williams\n20,http://example.com/ns#Jhon\n")
+    assert f"<http://example.com/Venus%20Williams> <{RDF}> <http://example.com/Student> <http://example.com/graph/10> ." in got
+    assert f'<http://example.com/Venus%20Williams> <{FOAF}> "Venus Williams"@en .' in got and f"<http://example.com/Venus%20Williams> <{RDF}> <http://xmlns.com/foaf/0.1/Person> ." in got
+    assert '<http://example.com/BadStudent> <http://example.com/description> "Bad Student" <http://example.com/graph/student> .' in got
+    assert '<http://example.com/ns#Jhon> <http://example.com/rel> "x" .' in got and '<http://example.com/http%3A%2F%2Fexample.com%2Fns%23Jhon> <http://example.com/id> "20" <http://example.com/graph/20> .' in got
+
+
+def test_many_to_many(spark, tmp_path):
+    source = """let s = csv!("s.csv") let p = csv!("p.csv") let l = csv!("l.csv")
+    #[rdf(base = "http://e/s/")] type S(i: string) do #[rdf(uri = "http://e/plays")] p: P end
+    #[rdf(base = "http://e/p/")] type P(i: string) do #[rdf(uri = "http://e/d")] d: string end
+    l |> join s on ID_S = ID |> join p on ID_P = ID suffix "_p"
+      |> each r -> S(r.ID_S) { p = ref P(r.ID_P) } +> each r -> P(r.ID_P) { d = r.D } |> Rdf.serialize("out.nq")"""
+    got = run(spark, tmp_path, source, s="ID,N\n10,V\n11,F\n", p="ID,D\n110,Tennis\n111,Football\n", l="ID_S,ID_P\n10,110\n11,110\n11,111\n9,110\n")
+    assert len([x for x in got if "plays" in x]) == 3 and '<http://e/p/110> <http://e/d> "Tennis" .' in got
