@@ -36,7 +36,7 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return values, offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, most: int = 4 << 20) -> list[tuple[int, int]]:
+def slices(offsets: np.ndarray, most: int = 1 << 20) -> list[tuple[int, int]]:
     """Row ranges of about ``most`` bytes each; a longer row stands alone."""
     out, lo, n = [], 0, len(offsets) - 1
     while lo < n:
