@@ -33,8 +33,8 @@ from strandmap.llm.shared import map_arrow, own_folder, partitions
 MAGIC = b"SMPLANE1"
 #: Ids in a block.
 BLOCK_IDS = 1 << 16
-#: Word pieces whose ids one worker keeps.
-KEPT_PIECES = 500_000
+#: Pieces and words whose ids one worker keeps in each of two generations.
+KEPT_PIECES = 400_000
 FOOTER = struct.Struct("<QQQQ8s")  # place of the documents, of the index, blocks, ids, magic
 ENTRY = struct.Struct("<QI4I")  # place, ids, plane lengths
 
@@ -45,6 +45,24 @@ _SPLIT = re.compile(r" (?=\S)")
 # --- encoding ---------------------------------------------------------------------------------------------------
 
 
+class Known(dict):
+    """Ids by piece, made when they are first asked for.  A full generation becomes the old one; what is asked again lives on."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
+        if len(self) >= KEPT_PIECES:
+            self.old = dict(self)
+            self.clear()
+        self[key] = out
+        return out
+
+
 class Encoder:
     """Ids of whole texts by a `tokenizers` file, with the library run once for each distinct piece.
 
@@ -69,62 +87,40 @@ class Encoder:
             self.model = self.tokenizer.model
             # The pre-tokenizer's letter for each byte, learned from it: it gives the 256 letters in order of the bytes it writes them for.
             self.letters = _byte_letters(ByteLevel(add_prefix_space=False, use_regex=False))
-        self.pieces: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
-        self.signs: dict[str, bytes] = {"": b""}
+        self.pieces = Known(lambda x: self._piece(x, " "))
+        self.spaced = Known(lambda w: self._word(" " + w))
+        self.bare = Known(self._word)
+        self.signs = Known(lambda s: self._encode([s])[0] if s else b"")
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _word(self, word: str, spaced: bool) -> bytes:
-        """Ids of letters alone, with a space before them or without."""
-        known = self.spaced if spaced else self.bare
-        out = known.get(word)
-        if out is None:
-            if len(known) > KEPT_PIECES:
-                known.clear()
-            raw = (" " + word if spaced else word).encode().decode("latin-1").translate(self.letters)
-            out = known[word] = array("I", [t.id for t in self.model.tokenize(raw)]).tobytes()
-        return out
+    def _word(self, word: str) -> bytes:
+        """Ids of letters alone, perhaps after a space."""
+        raw = word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(raw)]).tobytes()
 
     def _piece(self, piece: str, lead: str) -> bytes:
         """Ids of a piece between two cuts."""
+        word = piece.rstrip(SIGNS)
+        if word.isalpha():
+            own = (self.spaced if lead else self.bare)[word]
+            return own if len(word) == len(piece) else own + self.signs[piece[len(word) :]]
         if "\n" in piece:
             a, _, b = piece.partition("\n")
             if a and b and "\n" not in b and not a[-1].isspace() and not b[0].isspace():
-                return self._piece(a, lead) + self._sign("\n") + self._piece(b, "")
-        word = piece.rstrip(SIGNS)
-        if word.isalpha():
-            return self._word(word, lead != "") + self._sign(piece[len(word) :])
+                return self._piece(a, lead) + self.signs["\n"] + self._piece(b, "")
         return self._encode([lead + piece])[0]
 
-    def _sign(self, signs: str) -> bytes:
-        out = self.signs.get(signs)
-        if out is None:
-            if len(self.signs) > KEPT_PIECES:
-                self.signs = {"": b""}
-            out = self.signs[signs] = self._encode([signs])[0]
-        return out
-
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text (null: empty), each with the end id."""
         if not self.cuts:
             return [x + self.end for x in self._encode([t or "" for t in texts])]
-        out, pieces, spaced = [], self.pieces, self.spaced
+        out, ids = [], self.pieces.__getitem__
         for t in texts:
             t = t or ""
-            split = _SPLIT.split(t) if _BLANK.search(t) else t.split(" ")
-            for x in {x for x in split[1:] if x not in pieces}:
-                word = x.rstrip(SIGNS)
-                ids = spaced.get(word)
-                if ids is None or len(word) < len(x):
-                    ids = self._piece(x, " ")
-                pieces[x] = ids
-            ids = [pieces[x] for x in split[1:]]
-            out.append(b"".join([self._piece(split[0], "") if split[0] else b"", *ids, self.end]))
-            if len(pieces) > KEPT_PIECES:
-                pieces.clear()
+            first, *rest = _SPLIT.split(t) if _BLANK.search(t) else t.split(" ")
+            out.append(b"".join([self._piece(first, "") if first else b"", *map(ids, rest), self.end]))
         return out
 
 
