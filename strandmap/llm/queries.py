@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandmap.llm import hnsw, html, media, mixing, packing, quality, sharding, simhash, tokens, urlfilter
-from strandmap.llm.shared import word_count
+from strandmap.llm.shared import cut, word_count
 
 
 def _table(spark, sf_dir, name):
@@ -68,7 +68,7 @@ def op4_quality_classifier(spark, sf_dir):
 
 def op5_packing(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", word_count(F.col("text")).alias("n_words"))
-    packed = packing.pack(docs, "n_words", budget=8192, buckets=16)
+    packed = packing.pack(cut(docs), "n_words", budget=8192, buckets=16)  # the texts are read once
     return packed.select("doc_id", F.col("length").alias("n_words"), "bucket", "padded", "batch", "place")
 
 
