@@ -44,7 +44,7 @@ def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bucket, batch and place of every document (of every copy)."""
     lengths = docs.select("doc_id", word_count(F.col("text")).alias("n_words"))
-    packed = packing.pack(lengths, "n_words", BUDGET, BUCKETS)
+    packed = packing.pack(cut(lengths), "n_words", BUDGET, BUCKETS)  # the texts are read once
     return packed.select("doc_id", F.col("length").alias("n_words"), "bucket", "padded", "batch", "place")
 
 
