@@ -75,11 +75,20 @@ def schema_with(df: DataFrame, **more: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *(T.StructField(n, T._parse_datatype_string(t)) for n, t in more.items())])
 
 
+#: Bytes of one Arrow batch between the JVM and Python.
+BATCH_BYTES = 8 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def map_arrow(df: DataFrame, work: Callable, schema: T.StructType | str) -> DataFrame:
-    """``df.mapInArrow(work, schema)`` whose Python workers give memory back at the end of a task.
+    """``df.mapInArrow(work, schema)`` whose Python workers give memory back at the end of a task, in batches of BATCH_BYTES.
 
-    Workers live on between tasks beside the executor's heap; what allocators keep would count against it.
+    Workers live on between tasks beside the executor's heap; what allocators keep would count against it.  Batches of
+    10,000 whole texts would be large, so the session's limit in bytes is lowered unless it has been set.
     """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_CONF, None) == "67108864b":  # Spark's default
+        conf.set(_BATCH_CONF, str(BATCH_BYTES))
 
     def lean(batches):
         yield from work(batches)
