@@ -38,7 +38,7 @@ DROPPED = frozenset("head script style template noscript iframe object embed svg
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 DROPPED_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices "
-    "popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments disqus respond replies "
+    "alert alerts announcement popup modal overlay sidebar topbar menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments disqus respond replies "
     "share sharing social newsletter subscribe subscription related widget widgets toolbar pagination pager".split()
 )
 KEPT_TAGS = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
@@ -47,7 +47,8 @@ BOXES = frozenset("div section aside ul ol dl table figure nav header footer for
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-NAME = re.compile(r"[a-z0-9]+")
+#: Words of a class or id: ``site-footer``, ``siteFooter`` and ``SITE_FOOTER`` have the same.
+NAME = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z0-9]+")
 
 
 class Page:
@@ -71,8 +72,9 @@ class Page:
         drop = tag in DROPPED
         if attributes and not drop and tag not in KEPT_TAGS:
             for name, a, b, c in ATTRIBUTE.findall(attributes):
-                name, value = name.lower(), (a or b or c).lower()
-                if name == "hidden" or (name == "role" and value in DROPPED_ROLES) or (name in ("class", "id") and not DROPPED_NAMES.isdisjoint(NAME.findall(value))):
+                name, value = name.lower(), a or b or c
+                named = name in ("class", "id") and not DROPPED_NAMES.isdisjoint(w.lower() for w in NAME.findall(value))
+                if named or name == "hidden" or (name == "role" and value.lower() in DROPPED_ROLES):
                     drop = True
         self.dropped.append(drop)
         self._hashing.append([])

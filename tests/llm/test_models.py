@@ -29,7 +29,7 @@ def test_main_text():
         (None, ""), ("", ""), ("plain &amp text", "plain & text"), ("<p>a</p>b<p>c", "a\n\nb\n\nc"), ("<main><p>m</p></main><p>no</p>", "m"), ("<p hidden>no</p><div role=navigation>no</div>x", "x"),
         ("<table><tr><td>a<td>b<tr><td>c</table>", "a\n\nb\n\nc"), ("<script>if (a<b) x</script>y", "y"), ("<script>never closed", ""), ("a<br>b", "a b"), ("a<!-- open", "a"), ("<p>a < b</p>", "a < b"),
         ("<textarea><p>no</p></textarea>z", "z"), ("</div></p>q", "q"), ("<ARTICLE><P>U</ARTICLE>", "U"), ("<article></article><p>x</p>", "x"), ("<pre>a\n  b</pre>", "a b"), ("<svg><p>no</p></svg>k", "k"),
-        ('<a title="x>y">l</a>', "l"),
+        ('<a title="x>y">l</a>', "l"), ('<div class="siteFooter">no</div><div id="SITE_NAV">no</div><div class="added shadow">k</div>', "k"),
     ],
 )
 def test_fragments(source, text):
