@@ -27,13 +27,18 @@ def subject(out: Output) -> Column:
     return F.concat_ws("", F.lit(out.record.base), own) if out.record.base else own
 
 
-def elements(out: Output, strict: bool) -> list[Column]:
-    """Structs of the quads that one output makes of a row; a struct is null where there is no quad."""
+def elements(out: Output, k: int, strict: bool) -> list[tuple[dict[str, Column], Column]]:
+    """For each quad that output ``k`` makes of a row: the columns it needs, and over those the quad, null where there is none.
+
+    Terms are columns of their own, so that subjects, which all quads of an output share, are made and checked once.
+    """
     if not out.args:
         raise EvaluationFault(f"records of {out.record.name} have no subject: its constructor has no argument")
-    s = terms.resource(subject(out))
-    g = terms.resource(text(out.args[1])) if len(out.args) > 1 else F.lit(None).cast("string")
     null = F.lit(None).cast("string")
+    shared = {f"_s{k}": terms.resource(subject(out))}
+    if len(out.args) > 1:
+        shared[f"_g{k}"] = terms.resource(text(out.args[1]))
+    s, g = F.col(f"_s{k}"), F.col(f"_g{k}") if len(out.args) > 1 else null
 
     def quad(p: str, value: Column, kind: Column, datatype: Column, lang: Column = null) -> Column:
         whole = F.struct(s.alias("subject"), F.lit(p).alias("predicate"), value.alias("object"), kind.alias("object_kind"), datatype.alias("datatype"), lang.alias("lang"), g.alias("graph"))
@@ -41,19 +46,20 @@ def elements(out: Output, strict: bool) -> list[Column]:
 
     found = []
     if out.record.rdf_type:
-        found.append(quad(terms.RDF_TYPE, F.lit(terms.predicate(out.record.rdf_type)), F.lit("iri"), null))
-    for name, value in out.values:
+        found.append((shared, quad(terms.RDF_TYPE, F.lit(terms.predicate(out.record.rdf_type)), F.lit("iri"), null)))
+    for j, (name, value) in enumerate(out.values):
         f = out.record.field(name)
         if f.uri is None:
             continue
+        own = f"_v{k}_{j}"
         lexical = to_declared(value, f.type).cast("string")
         xsd = DATATYPES.get(strip(f.type))
         if xsd:  # numbers and booleans never look like IRIs
-            found.append(quad(terms.predicate(f.uri), lexical, F.lit("literal"), F.lit(xsd)))
+            found.append((shared | {own: lexical}, quad(terms.predicate(f.uri), F.col(own), F.lit("literal"), F.lit(xsd))))
         else:
-            term = terms.object_term(lexical, strict)
-            lang = F.when(term["object_kind"] == "literal", F.lit(terms.language(f.lang))) if f.lang else null
-            found.append(quad(terms.predicate(f.uri), term["object"], term["object_kind"], null, lang))
+            kind = F.col(f"{own}.object_kind")
+            lang = F.when(kind == "literal", F.lit(terms.language(f.lang))) if f.lang else null
+            found.append((shared | {own: terms.object_term(lexical, strict)}, quad(terms.predicate(f.uri), F.col(f"{own}.object"), kind, null, lang)))
     return found
 
 
@@ -64,12 +70,15 @@ def quads(frame: Frame, distinct: bool = False, strict: bool = False) -> DataFra
     """
     if not frame.outputs:
         raise EvaluationFault("RDF output needs rows made by a record constructor")
-    parts = [e for out in frame.outputs for e in elements(out, strict)]
+    parts = [e for k, out in enumerate(frame.outputs) for e in elements(out, k, strict)]
     if not parts:
         return frame.source.sparkSession.createDataFrame([], SCHEMA)
-    groups = [parts[i : i + WIDEST] for i in range(0, len(parts), WIDEST)]
-    # compact drops missing quads inside the array, before rows are made of them.
-    made = [frame.source.select(F.explode(F.array_compact(F.array(*g))).alias("q")).select("q.*") for g in groups]
+    made = []
+    for lo in range(0, len(parts), WIDEST):
+        group = parts[lo : lo + WIDEST]
+        needed = {n: c for columns, _ in group for n, c in columns.items()}
+        rows = frame.source.select(*[c.alias(n) for n, c in needed.items()])
+        made.append(rows.select(F.explode(F.array(*[q for _, q in group])).alias("q")).where("q IS NOT NULL").select("q.*"))
     out = made[0]
     for m in made[1:]:
         out = out.unionAll(m)

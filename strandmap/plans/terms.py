@@ -32,8 +32,8 @@ def is_bnode(c: Column) -> Column:
 
 def resource(c: Column) -> Column:
     """A subject or graph: a blank node or a valid IRI without brackets, else null."""
-    bare = unwrapped(c)
-    return F.when(c.startswith("_:"), F.when(is_bnode(c), c)).when(is_iri(bare), bare)
+    plain = F.when(is_iri(c), c).when(c.startswith("<"), F.when(is_iri(unwrapped(c)), unwrapped(c)))
+    return F.when(c.startswith("_:"), F.when(is_bnode(c), c)).otherwise(plain)
 
 
 def object_term(c: Column, strict: bool = False) -> Column:
