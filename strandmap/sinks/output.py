@@ -32,16 +32,19 @@ class Outputs:
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def write_lines(self, df: DataFrame, path: str, head: str = "", layout: str = "auto", tail: str = "") -> None:
-        """Write column ``value``; ``layout`` is one file, a folder of parts, or by size.  ``head`` starts a file, ``tail`` ends it."""
+        """Write column ``value``; ``layout`` is one file, a folder of parts, or by size.  ``head`` starts a file, ``tail`` ends it;
+        a folder has the head in ``_header``."""
         dest = target(path)
         staged = f"{dest}.staged-{uuid.uuid4().hex}"
         self._staged.append((staged, dest))
         df.write.text(staged)
+        folder, fs = self._path(staged)
         if layout == "folder":
+            self._head(staged, fs, head)
             return
-        folder, fs = self._path(staged)
         parts = sorted((s for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")), key=lambda s: s.getPath().getName())
         if layout == "auto" and sum(s.getLen() for s in parts) > ONE_FILE:
+            self._head(staged, fs, head)
             return
         whole, _ = self._path(f"{staged}.one")
         fs.setWriteChecksum(False)  # else a local file gets a hidden companion
@@ -64,6 +67,13 @@ class Outputs:
         fs.delete(folder, True)
         fs.rename(whole, folder)
 
+    def _head(self, folder: str, fs: JavaObject, head: str) -> None:
+        """In a folder the head stands in a file that readers of the parts pass over."""
+        if head:
+            out = fs.create(self._path(f"{folder}/_header")[0], True)
+            out.write(bytearray(head.encode()))
+            out.close()
+
     def commit(self) -> None:
         """Move everything to its destination, replacing what is there."""
         for staged, dest in self._staged:

@@ -24,7 +24,7 @@ def csv_lines(df: DataFrame) -> DataFrame:
     return df.select(F.concat_ws(",", *[cell(F.col(f"`{n}`"), n) for n in df.columns]).alias("value"))
 
 
-def write_csv(frame: Frame, path: str, outputs: Outputs | None = None, strict: bool = False, layout: str = "file") -> str:
+def write_csv(frame: Frame, path: str, outputs: Outputs | None = None, strict: bool = False, layout: str = "auto") -> str:
     """Write the mapped view with a header; an empty report is its header alone (nothing at all if ``strict``)."""
     df = frame.mapped()
     own = outputs or Outputs(df.sparkSession)

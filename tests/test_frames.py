@@ -172,6 +172,8 @@ def test_reports(spark, tmp_path):
     assert open(p).read() == 'id,a,n\n1,"a,""b""",1.5\n2,,2.0\n"","l\nm",\n'
     frame(spark, []).report(p)
     assert open(p).read() == "id,a,n\n"
+    frame(spark, [("1", "a", 1.0)]).report(str(tmp_path / "f"), layout="folder")
+    assert spark.read.text(str(tmp_path / "f")).first()[0] == "1,a,1.0" and open(str(tmp_path / "f/_header")).read() == "id,a,n\n"
     frame(spark, []).report(p, strict=True)
     assert open(p).read() == ""
 
