@@ -12,6 +12,7 @@ only files that finished tasks report are read, so retries and lost executors le
 
 from __future__ import annotations
 
+import gc
 import re
 import struct
 import uuid
@@ -87,6 +88,8 @@ class Encoder:
             self.model = self.tokenizer.model
             # The pre-tokenizer's letter for each byte, learned from it: it gives the 256 letters in order of the bytes it writes them for.
             self.letters = _byte_letters(ByteLevel(add_prefix_space=False, use_regex=False))
+            self.space = self.letters[32]
+            self.ascii_as_is = all(self.letters[b] == chr(b) for b in range(128) if chr(b).isalpha())
         self.pieces = Known(lambda x: self._piece(x, " "))
         self.spaced = Known(lambda w: self._word(" " + w))
         self.bare = Known(self._word)
@@ -97,7 +100,10 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         """Ids of letters alone, perhaps after a space."""
-        raw = word.encode().decode("latin-1").translate(self.letters)
+        if self.ascii_as_is and word.isascii():
+            raw = word.replace(" ", self.space)
+        else:
+            raw = word.encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.model.tokenize(raw)]).tobytes()
 
     def _piece(self, piece: str, lead: str) -> bytes:
@@ -279,6 +285,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, id_col: st
     def work(batches):
         fs, base = pa.fs.FileSystem.from_uri(folder)
         writer, name = None, ""
+        gc.disable()  # nothing here is cyclic, and the collector would walk all known pieces again and again
         for x in batches:
             if not len(x):
                 continue
@@ -294,6 +301,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, id_col: st
             for lo in range(0, len(ids), 256):
                 for d, i in zip(ids[lo : lo + 256], encode(texts.slice(lo, 256).to_pylist()), strict=True):
                     writer.add(d, i)
+        gc.enable()
         if writer is not None:
             writer.finish()
             sink.close()
