@@ -15,12 +15,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandmap.llm.components import Forest, components
 from strandmap.llm.shared import cut, map_arrow, partitions, schema_with
-from strandmap.llm.textscan import simhash, text_bytes
+from strandmap.llm.textscan import minima, shingle_sets, simhash, text_bytes
 
 #: A bucket of more rows than this is not compared pairwise; its fingerprints go the exact way of `_hot_links`.
 BUCKET = 4096
@@ -264,12 +265,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return rows.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component")
 
 
-# --- similarity of texts ----------------------------------------------------------------------------------------
-
-#: A pair this similar is to be met with this probability by one of its probes.
+#: Shape of a sketch of SimHash words: a pair of this similarity is met with this probability.  `text_classes` has no use for it.
 MEETS_AT, MEETS = 0.85, 0.95
-#: Standard error of a similarity read off a sketch of eight words; texts are linked from so much below the wanted one.
-MARGIN = 0.03
 
 
 def differing(similarity: float) -> float:
@@ -288,14 +285,48 @@ def sketch_shape(n: int) -> tuple[int, int]:
     return parts, max(math.ceil(needed / parts), 8)
 
 
-def _similar_links(most: int, words: int):
-    """Rows (k, v, a, b, id, sketch) sorted by key -> forest of the pairs within each key that differ in ``most`` bits at most."""
+# --- similarity of texts ----------------------------------------------------------------------------------------
+
+#: Minima of a band; a pair of similarity s agrees in a band with probability s ** ROWS.
+ROWS = 4
+#: A pair of just the wanted similarity is to be met in one of the bands with this probability, whatever the table's size.
+MET = 0.999
+#: Pairs whose minima tell a similarity this many standard errors below the wanted one are not compared exactly.
+ERRORS = 4
+#: Shingles in a slice of a group; a task compares two slices.
+SLICE = 1 << 20
+
+
+def bands(similarity: float) -> int:
+    """Bands that meet a pair of this similarity with probability MET."""
+    each = similarity**ROWS
+    return 1 if each >= MET else math.ceil(math.log(1 - MET) / math.log(1 - each))
+
+
+def least_matches(minima: int, similarity: float) -> int:
+    """Equal minima below which a pair is not compared exactly."""
+    return max(math.floor(minima * similarity - ERRORS * math.sqrt(minima * similarity * (1 - similarity))), 0)
+
+
+def _keys_of(sets: np.ndarray, sizes: np.ndarray, n_bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """For non-empty shingle sets laid end to end: (rows, bands) keys, and a byte of each minimum, (rows, bands * ROWS)."""
+    starts = np.cumsum(sizes) - sizes
+    low = minima(sets, starts, n_bands * ROWS)
+    keys = low[:, ::ROWS].copy()
+    with np.errstate(over="ignore"):
+        for r in range(1, ROWS):
+            keys = ((keys << np.uint64(29)) | (keys >> np.uint64(35))) * np.uint64(0x9E3779B185EBCA87) ^ low[:, r::ROWS]
+    return keys.view(np.int64), (low >> np.uint64(20)).astype(np.uint8)
+
+
+def _similar_links(similarity: float, least: int, width: int):
+    """Rows (k, v, a, b, node, n, sketch) sorted by key -> forest of the pairs within each key that may be this similar."""
 
     def work(batches):
         held, carry = Forest(), None
         for x in batches:
-            key = [x[c].to_numpy(zero_copy_only=False) for c in ("k", "v", "a", "b", "id")]
-            sketch = np.frombuffer(b"".join(x["sketch"].to_pylist()), "<u8").reshape(-1, words)
+            key = [x[c].to_numpy(zero_copy_only=False) for c in ("k", "v", "a", "b", "node", "n")]
+            sketch = np.frombuffer(b"".join(x["sketch"].to_pylist()), np.uint8).reshape(-1, width)
             part = [*key, sketch]
             if carry is not None:
                 part = [np.concatenate(z) for z in zip(carry, part, strict=True)]
@@ -312,62 +343,153 @@ def _similar_links(most: int, words: int):
         yield from held.rest()
 
     def within(part, held):
-        *key, ids, sketch = part
-        group = np.zeros(len(ids), np.int64)
+        *key, nodes, n, sketch = part
+        group = np.zeros(len(nodes), np.int64)
         for z in key:
             group[1:] |= z[1:] != z[:-1]
         group = np.cumsum(group)
-        at, step = np.arange(len(ids)), 1
+        at, step = np.arange(len(nodes)), 1
         while len(at):
-            at = at[at + step < len(ids)]
+            at = at[at + step < len(nodes)]
             at = at[group[at] == group[at + step]]
             for lo in range(0, len(at), 1 << 16):
                 i = at[lo : lo + (1 << 16)]
-                ok = np.bitwise_count(sketch[i] ^ sketch[i + step]).sum(1, dtype=np.int64) <= most
-                yield from held.add(ids[i[ok]], ids[i[ok] + step])
+                i = i[np.minimum(n[i], n[i + step]) / np.maximum(n[i], n[i + step]) >= similarity]  # sets of other sizes can't be so similar
+                i = i[(sketch[i] == sketch[i + step]).sum(1, dtype=np.int64) >= least]
+                yield from held.add(nodes[i], nodes[i + step])
             step += 1
 
     return work
 
 
-def similar_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, component) of every document with an id: components of the links between texts of this similarity of k-word shingles.
+def exact_links(nodes: np.ndarray, sizes: np.ndarray, sets: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect just what all pairs of at least this Jaccard similarity connect; non-empty sets, end to end.
+
+    A search from set to set: each is compared with those not reached yet, so that a group of copies takes one pass.
+    """
+    items, number = np.unique(sets, return_inverse=True)
+    first = np.cumsum(sizes) - sizes
+    mark = np.zeros(len(items), bool)
+    left, flat = np.arange(len(nodes)), number
+    a: list[int] = []
+    b: list[int] = []
+    while len(left):
+        todo = [left[0]]
+        flat, left = flat[sizes[left[0]] :], left[1:]
+        while todo and len(left):
+            i = todo.pop()
+            own = number[first[i] : first[i] + sizes[i]]
+            mark[own] = True
+            n = sizes[left]
+            common = np.add.reduceat(mark[flat], np.cumsum(n) - n, dtype=np.int64)
+            mark[own] = False
+            ok = common / (n + sizes[i] - common) >= similarity
+            if ok.any():
+                a += [nodes[i]] * int(ok.sum())
+                b += nodes[left[ok]].tolist()
+                todo += left[ok].tolist()
+                flat, left = flat[np.repeat(~ok, n)], left[~ok]
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _exact(similarity: float):
+    """Rows (block, a, b, node, shingles) sorted by (block, a, b) -> forest of the exact links within each."""
+
+    def work(batches):
+        held, key = Forest(), None
+        nodes: list[int] = []
+        sets: list[np.ndarray] = []
 
-    The similarity of two texts is read off sketches of several SimHash words: the share of differing bits tells the
-    Jaccard similarity within some hundredths.  Each word is searched by the generalised pigeonhole principle, its parts and
-    thresholds being planned as in `links`; candidates are verified on the whole sketch, with MARGIN for its error.  A bucket of more than BUCKET
-    sketches is compared in tiles, each of two slices of it, so that no task holds more than two slices and no pair is left out.
+        def links_of():
+            if len(nodes) > 1:
+                yield from held.add(*exact_links(np.array(nodes, np.int64), np.array([len(z) for z in sets]), np.concatenate(sets), similarity))
+            nodes.clear()
+            sets.clear()
+
+        for x in batches:
+            for block, p, q, node, shingles in zip(*(x[c].to_pylist() for c in ("block", "a", "b", "node", "shingles")), strict=True):
+                if (block, p, q) != key:
+                    yield from links_of()
+                    key = (block, p, q)
+                nodes.append(node)
+                sets.append(np.frombuffer(shingles, "<u8"))
+        yield from links_of()
+        yield from held.rest()
+
+    return work
+
+
+def text_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, key, class) of every row: the key is that of its text (`text_key`), rows of one class are connected by links.
+
+    Two texts are linked if their sets of k-word shingles (64-bit hashes of them) have this Jaccard similarity or more.
+    Equal sets are one node.  Candidates share a band of minima of the sets (Broder, "On the Resemblance and Containment of
+    Documents", 1997), of a number of bands that depends on nothing but the similarity; every link is then verified
+    on the sets themselves.  A bucket of more than BUCKET nodes, and a group of candidates of more than SLICE shingles, is
+    compared in tiles, each of two slices of it, so that no task holds more than two slices and no pair is left out.
     """
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    parts, words = sketch_shape(docs.count())
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_key(F.col(text)).alias("key"), F.col(text).alias("text"))
+    n_bands = bands(similarity)
 
-    def sketch(batches):
+    def describe(batches):
         for x in batches:
-            own = simhash(*text_bytes(x["text"]), k, words).astype("<u8")
-            yield pa.RecordBatch.from_arrays([x["id"], pa.array([r.tobytes() for r in own], pa.binary())], ["id", "sketch"])
-
-    own = cut(map_arrow(rows, sketch, "id long, sketch binary"))
-    distinct = cut(own.groupBy("sketch").agg(F.min("id").alias("id")))
-    as_long = [F.expr(f"cast(conv(hex(reverse(substring(sketch, {8 * w + 1}, 8))), 16, -10) as bigint)") for w in range(words)]
-    probes, at = [], 0
-    wide = cut(distinct.select("id", "sketch", *[c.alias(f"w{i}") for i, c in enumerate(as_long)]))
-    for w, chosen in enumerate(plan(wide, [f"w{w}" for w in range(words)], parts - 1, (parts,))):
-        for p in chosen:
-            if p.threshold >= 0:
-                value = part_value(F.col(f"w{w}"), p.bits)
-                probes += [F.struct(F.lit(at).alias("k"), value.bitwiseXOR(F.lit(m).cast("long")).alias("v")) for m in ball(len(p.bits), p.threshold)]
-            at += 1
+            sets, sizes = shingle_sets(*text_bytes(x["text"]), k)
+            keys, sketch = np.zeros((len(sizes), n_bands), np.int64), np.zeros((len(sizes), n_bands * ROWS), np.uint8)
+            if len(sets):
+                keys[sizes > 0], sketch[sizes > 0] = _keys_of(sets, sizes[sizes > 0], n_bands)
+            ends = np.cumsum(sizes)
+            digests = [xxhash.xxh3_128_digest(sets[e - n : e].tobytes()) for e, n in zip(ends, sizes, strict=True)]
+            columns = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(list(keys), pa.list_(pa.int64())), pa.array([r.tobytes() for r in sketch], pa.binary())]
+            yield pa.RecordBatch.from_arrays([x["id"], x["key"], *columns], ["id", "key", "digest", "n", "keys", "sketch"])
+
+    own = cut(map_arrow(rows, describe, "id long, key string, digest binary, n long, keys array<long>, sketch binary"))
+    distinct = own.groupBy("digest").agg(*[F.first(c).alias(c) for c in ("n", "keys", "sketch")], F.min(F.struct("id", "key")).alias("of"))
+    distinct = cut(distinct.withColumn("node", F.monotonically_increasing_id()))
     zero = F.lit(0).cast("long")
-    keyed = wide.select("id", "sketch", F.explode(F.array(*probes)).alias("x")).select("x.k", "x.v", "id", "sketch")
+    keyed = distinct.where("n > 0").select("node", "n", "sketch", F.posexplode("keys").alias("k", "v"))
     hot = cut(keyed.groupBy("k", "v").count().where(F.col("count") > BUCKET))
-    rest = keyed.select("k", "v", zero.alias("a"), zero.alias("b"), "id", "sketch")
+    columns = ["k", "v", "a", "b", "node", "n", "sketch"]
+    rest = keyed.withColumn("a", zero).withColumn("b", zero).select(*columns)
     if not hot.isEmpty():
-        slices = hot.select("k", "v", F.ceil(F.col("count") / BUCKET).cast("long").alias("n"))
-        tiled = keyed.join(slices, ["k", "v"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("n"))).withColumn("other", F.explode(F.sequence(zero, F.col("n") - 1)))
-        tiled = tiled.select("k", "v", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "id", "sketch")
-        rest = rest.join(hot.select("k", "v"), ["k", "v"], "left_anti").select("k", "v", "a", "b", "id", "sketch").union(tiled)
-    dealt = rest.repartition(partitions(docs), "k", "v", "a", "b").sortWithinPartitions("k", "v", "a", "b", "id")
-    edges = map_arrow(dealt, _similar_links(int(64 * words * differing(similarity - MARGIN)), words), "a long, b long")
-    found = components(edges).select(F.col("id").alias("first"), "component")
-    classes = distinct.join(found, distinct["id"] == found["first"], "left").select("sketch", F.coalesce("component", "id").alias("component"))
-    return own.join(classes, "sketch").select(F.col("id").alias(id_col), "component")
+        slices = hot.select("k", "v", F.ceil(F.col("count") / BUCKET).cast("long").alias("of"))
+        rest = rest.join(hot.select("k", "v"), ["k", "v"], "left_anti").select(*columns).union(_tiles(keyed.join(slices, ["k", "v"])).select(*columns))
+    dealt = rest.repartition(partitions(docs), "k", "v", "a", "b").sortWithinPartitions("k", "v", "a", "b", "node")
+    least = least_matches(n_bands * ROWS, similarity)
+    blocks = components(map_arrow(dealt, _similar_links(similarity, least, n_bands * ROWS), "a long, b long"))
+
+    members = distinct.join(blocks, distinct["node"] == blocks["id"]).select("node", F.col("component").alias("block"), "n", "of.id", "of.key")
+    members = cut(members)
+    sizes = members.groupBy("block").agg(F.ceil(F.sum("n") / SLICE).cast("long").alias("of"))
+    of_texts = members.join(sizes, "block").select("node", "block", "of", F.col("id").alias("_id"), F.col("key").alias("_key"))
+    whole = rows.join(of_texts, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).groupBy("node").agg(*[F.first(c).alias(c) for c in ("block", "of", "text")])
+
+    def sets_of(batches):
+        for x in batches:
+            sets, sizes = shingle_sets(*text_bytes(x["text"]), k)
+            ends = np.cumsum(sizes)
+            shingles = pa.array([sets[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([x["node"], x["block"], x["of"], shingles], ["node", "block", "of", "shingles"])
+
+    tiles = _tiles(map_arrow(whole, sets_of, "node long, block long, of long, shingles binary")).select("block", "a", "b", "node", "shingles")
+    tiles = tiles.repartition(partitions(docs), "block", "a", "b").sortWithinPartitions("block", "a", "b", "node")
+    found = components(map_arrow(tiles, _exact(similarity), "a long, b long"))
+    classes = distinct.join(found, distinct["node"] == found["id"], "left").select("digest", F.coalesce("component", "node").alias("class"))
+    return own.select("id", "key", "digest").join(classes, "digest").select("id", "key", "class")
+
+
+def _tiles(rows: DataFrame) -> DataFrame:
+    """Each row (node, of: number of slices) once for every tile (a, b) of two slices that has its slice."""
+    dealt = rows.withColumn("_own", F.pmod(F.xxhash64("node"), F.col("of"))).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)))
+    return dealt.withColumn("a", F.least("_own", "_other")).withColumn("b", F.greatest("_own", "_other"))
+
+
+def text_key(text):
+    """What tells a text from others of the same id; a null text is an empty one."""
+    return F.md5(F.coalesce(text, F.lit("")))
+
+
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, component) of every document with an id: the smallest id of those that links of `text_classes` connect it with."""
+    own = cut(text_classes(docs.where(F.col(id_col).isNotNull()), id_col, text, k, similarity))
+    named = own.groupBy("class").agg(F.min("id").alias("component"))
+    return own.join(named, "class").select(F.col("id").alias(id_col), "component")

@@ -191,3 +191,31 @@ def _mixed(h: np.ndarray, w: int) -> np.ndarray:
         h ^= h >> np.uint64(31)
         h *= P3 | np.uint64(1)
         return h ^ (h >> np.uint64(29))
+
+
+def shingle_sets(values: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct k-word shingle hashes of each row, sorted, end to end; and their number in each row."""
+    sets, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for lo, hi in slices(offsets):
+        scan = Words(values[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        start, end, per_row = scan.shingles(k)
+        h = xxh64(scan.buf, start, end)
+        ends = np.cumsum(per_row)
+        for a, b in zip(ends - per_row, ends, strict=True):
+            h[a:b].sort()
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        new[(ends - per_row)[per_row > 0]] = True
+        sets.append(h[new])
+        total = np.concatenate([[0], np.cumsum(new)])
+        sizes.append(total[ends] - total[ends - per_row])
+    return np.concatenate(sets), np.concatenate(sizes)
+
+
+def minima(sets: np.ndarray, starts: np.ndarray, count: int) -> np.ndarray:
+    """The least value of each non-empty set, which begin at ``starts``, under each of ``count`` orders: (sets, count)."""
+    out = np.empty((len(starts), count), np.uint64)
+    with np.errstate(over="ignore"):
+        for i, odd in enumerate(_mixed(np.arange(1, count + 1, dtype=np.uint64), 1) | np.uint64(1)):
+            out[:, i] = np.minimum.reduceat(sets * odd, starts)
+    return out
