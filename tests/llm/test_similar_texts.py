@@ -46,6 +46,15 @@ def test_stage_against_brute_force(spark, monkeypatch, slice_):
     assert [i for i, _ in sorted(stage(spark, enumerate(texts)))] == want
 
 
+def test_repeated_lines_are_one(spark):
+    rng = np.random.default_rng(2)
+    words = lambda n: " ".join(f"v{x}" for x in rng.integers(0, 50_000, n))
+    line = " " + words(20)
+    a, b, c = words(504) + line * 50, words(504) + line * 50, words(504)
+    assert jaccard(a, b) < 0.05 and jaccard(c, c + line * 50) > 0.9
+    assert [i for i, _ in stage(spark, enumerate([a, b, c, c + line * 50]))] == [0, 1, 2]
+
+
 def test_exact_links():
     rng = np.random.default_rng(6)
     base = [rng.integers(0, 1 << 63, 40, dtype=np.uint64) for _ in range(6)]
