@@ -55,6 +55,16 @@ def test_repeated_lines_are_one(spark):
     assert [i for i, _ in stage(spark, enumerate([a, b, c, c + line * 50]))] == [0, 1, 2]
 
 
+@pytest.mark.parametrize("rows", [1000, 1 << 30])
+def test_links_do_not_depend_on_the_table(spark, monkeypatch, rows):
+    shape = S.sketch_shape
+    monkeypatch.setattr(S, "sketch_shape", lambda n: shape(rows))
+    texts = pairs([26, 27, 28, 29, 30] * 20, 3)
+    want = [i for i in range(len(texts)) if i % 2 == 0 or jaccard(texts[i - 1], texts[i]) < 0.8]
+    assert [i for i, _ in sorted(stage(spark, enumerate(texts)))] == want
+    assert 1 - (1 - 0.8**S.ROWS) ** S.bands(0.8) >= S.MET
+
+
 def test_exact_links():
     rng = np.random.default_rng(6)
     base = [rng.integers(0, 1 << 63, 40, dtype=np.uint64) for _ in range(6)]
