@@ -28,11 +28,16 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def stage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of exact or near copies: the one of the smallest id.  Documents without an id stay."""
-    classes = simhash.similar_texts(docs, k=SHINGLE, similarity=SIMILARITY)
-    kept = cut(classes.where("doc_id = component").select("doc_id").distinct())
-    first = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.select(*docs.columns).union(docs.where("doc_id is null"))
+    """One document of each group of exact or near copies: the one of the smallest id.
+
+    Of the documents without an id one of each group stays too, as they can't be told to be those with one.
+    """
+    classes = simhash.text_classes(docs, k=SHINGLE, similarity=SIMILARITY)
+    kept = classes.groupBy("class", F.isnull("id")).agg(F.min(F.struct("id", "key")).alias("of")).select("of.*")
+    kept = cut(kept.withColumnsRenamed({"id": "__id", "key": "__of"}))
+    keyed = docs.withColumn("__key", simhash.text_key(F.col("text")))
+    first = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__of")), "left_semi")
+    return first.dropDuplicates(["doc_id", "__key"]).select(*docs.columns)
 
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

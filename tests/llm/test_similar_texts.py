@@ -65,6 +65,15 @@ def test_links_do_not_depend_on_the_table(spark, monkeypatch, rows):
     assert 1 - (1 - 0.8**S.ROWS) ** S.bands(0.8) >= S.MET
 
 
+def test_repeated_and_missing_ids(spark):
+    a, b, c, d = pairs([28, 28], 4)
+    x, y = pairs([200], 5)
+    # Two texts of one id are two documents; their copies don't become one group.
+    assert stage(spark, [(1, a), (1, x), (2, b), (3, x), (1, a), (4, y)]) == sorted([(1, a), (1, x), (4, y)], key=str)
+    # Copies among rows without an id are one.
+    assert len(stage(spark, [(None, c), (None, c), (None, d), (None, y)])) == 2
+
+
 def test_exact_links():
     rng = np.random.default_rng(6)
     base = [rng.integers(0, 1 << 63, 40, dtype=np.uint64) for _ in range(6)]
