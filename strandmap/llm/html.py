@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from strandmap.llm.shared import cut, map_arrow, schema_with
 from strandmap.llm.urlfilter import host_col
 
-#: A subtree is a template if it is on this many pages of its host at least, and on this share of them.
+#: A subtree is a template if it is in this many different contents of its host at least, however many the host has.
 MIN_PAGES = 3
+#: A part of a box (a cell, an item, a heading) must be in this share of them as well: words like "yes" recur by themselves.
 MIN_SHARE = 0.25
 #: More template rows than this are joined by a shuffle; fewer are broadcast (some 24 bytes each).
 BROADCAST_ROWS = 500_000
@@ -44,6 +45,7 @@ DROPPED_NAMES = frozenset(
 KEPT_TAGS = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
 #: Inside the article only boxes can be template; its paragraphs may be quoted on other pages.
 BOXES = frozenset("div section aside ul ol dl table figure nav header footer form details".split())
+PARTS = frozenset("li dt dd tr td th thead tbody tfoot caption h1 h2 h3 h4 h5 h6 legend summary figcaption option optgroup".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -159,22 +161,39 @@ class Page:
             inside[i] = inside[self.parent[i]] or self.tag[i] in tags
         return inside
 
-    def candidates(self) -> list[int]:
-        """Nodes that may be a template: no part of the page's frame, not most of its text, and inside an article only boxes."""
+    def candidates(self, short: bool = True) -> list[int]:
+        """Nodes that may be a template: no part of the page's frame, and inside an article only boxes; ``short``: not most of the page's text."""
         holds = [False] * len(self.tag)
         for i in range(len(self.tag) - 1, 0, -1):
             if self.tag[i] in ("article", "main", "body", "html", "head") or holds[i]:
                 holds[i] = True
                 holds[self.parent[i]] = True
         main = self._inside(("article", "main"))
-        half = self.chars[0] / 2
-        return [i for i in range(1, len(self.tag)) if not holds[i] and self.chars[i] <= half and self.chars[i] and (self.tag[i] in BOXES if main[i] else self.tag[i] in BLOCK)]
+        most = self.chars[0] / 2 if short else self.chars[0]
+        return [i for i in range(1, len(self.tag)) if not holds[i] and self.chars[i] <= most and self.chars[i] and (self.tag[i] in BOXES if main[i] else self.tag[i] in BLOCK)]
+
+    def contents(self) -> list[int]:
+        """For each node a hash of the content that it stands in: the text of its innermost article or main, or of the page outside of them.
+
+        Text of dropped elements is left out, so that copies of a content with other advertisements or comments are one.
+        """
+        own, gone = [0] * len(self.tag), list(self.dropped)
+        for i in range(1, len(self.tag)):
+            own[i] = i if self.tag[i] in ("article", "main") else own[self.parent[i]]
+            gone[i] = gone[i] or gone[self.parent[i]]
+        texts: dict[int, list[str]] = {0: []}
+        for node, piece in self.pieces:
+            if piece and not gone[node]:
+                for at in {0, own[node]}:
+                    texts.setdefault(at, []).extend(piece.split())
+        hashes = {at: xxhash.xxh64_intdigest(" ".join(words).encode("utf-8", "surrogatepass")) for at, words in texts.items()}
+        return [hashes.get(at, 0) for at in own]
 
     def text(self, templates: frozenset[int] | set[int] = frozenset()) -> str:
         """Blocks of the main text, joined by an empty line."""
         gone = list(self.dropped)
         if templates:
-            for i in self.candidates():
+            for i in self.candidates(short=False):
                 gone[i] = gone[i] or self.hash[i] in templates
         for i in range(1, len(self.tag)):
             gone[i] = gone[i] or gone[self.parent[i]]
@@ -201,41 +220,52 @@ def signed(h: int) -> int:
 
 
 def templates(pages: DataFrame, host: str = "host", source: str = "html") -> DataFrame:
-    """(host, hashes): the subtrees, as signed 64-bit hashes, that recur on many pages of each host.
+    """(host, page, hashes): for each page (`page_key`) those of its subtrees, as signed 64-bit hashes, that are templates of its host.
 
-    A page has a bounded number of subtrees and each hash here covers a quarter of a host's pages, so an array is small
-    however many pages a host has.
+    An array holds hashes of its own page alone, however many templates a host has.
     """
 
     def work(batches):
         for x in batches:
-            hosts, hashes = [], []
-            for h, s in zip(x["host"].to_pylist(), x["html"].to_pylist(), strict=True):
+            out: list[tuple] = []
+            for h, key, s in zip(*(x[c].to_pylist() for c in ("host", "page", "html")), strict=True):
                 page = Page(s)
-                own = {page.hash[i] for i in page.candidates()} | {0}  # 0 counts the page itself
-                hosts += [h] * len(own)
-                hashes += map(signed, own)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], ["host", "hash"])
+                content, few = page.contents(), set(page.candidates())
+                out.append((h, key, 0, signed(content[0]), False, True))  # 0 counts the page itself
+                out += {(h, key, signed(page.hash[i]), signed(content[i]), page.tag[i] in PARTS, i in few) for i in page.candidates(short=False)}
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "page", "hash", "content", "part", "few"])
+
+    own = pages.select(F.coalesce(F.col(host), F.lit("")).alias("host"), page_key(F.col(source)).alias("page"), F.col(source).alias("html"))
+    rows = cut(map_arrow(own, work, "host string, page string, hash long, content long, part boolean, few boolean"))
+    each = rows.where("few").groupBy("host", "hash", "content").agg(F.min("part").alias("part"))
+    counts = cut(each.groupBy("host", "hash").agg(F.count("*").alias("n"), F.min("part").alias("part")).where(F.col("n") >= MIN_PAGES))
+    of_host = counts.where("hash = 0").select("host", F.col("n").alias("contents"))
+    found = counts.where("hash <> 0").join(of_host, "host", "left").where(~F.col("part") | (F.col("n") >= F.coalesce("contents", F.lit(0)) * MIN_SHARE))
+    found = cut(found.select("host", "hash"))
+    if found.count() <= BROADCAST_ROWS:
+        found = F.broadcast(found)
+    return rows.select("host", "page", "hash").join(found, ["host", "hash"]).groupBy("host", "page").agg(F.sort_array(F.collect_set("hash")).alias("hashes"))
+
 
-    rows = map_arrow(pages.select(F.coalesce(F.col(host), F.lit("")).alias("host"), F.col(source).alias("html")), work, "host string, hash long")
-    counts = cut(rows.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES))
-    of_host = counts.where("hash = 0").select("host", F.col("n").alias("pages"))
-    found = counts.where("hash <> 0").join(of_host, "host").where(F.col("n") >= F.col("pages") * MIN_SHARE)
-    return found.groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("hashes"))
+def page_key(source):
+    """What tells the pages of a host from each other; a null page is an empty one."""
+    return F.md5(F.coalesce(source, F.lit("")))
 
 
 def main_text(pages: DataFrame, url: str = "url", source: str = "html", to: str = "text") -> DataFrame:
     """pages with the main text of each in column ``to`` (empty if there is none; null html is empty), html left out.
 
     White space inside a block is one space, character references are decoded, blocks are joined by an empty line.
-    Null urls are a host of their own.  Repeated rows count as pages of their own.  Existing columns ``to`` are replaced.
+    Null urls are a host of their own.  Repeated contents count once.  Existing columns ``to`` are replaced.
     """
     kept = [c for c in pages.columns if c not in (source, to)]
-    hosted = pages.select(*kept, source).withColumn("_host", host_col(F.col(url)))
-    found = cut(templates(hosted, "_host", source).withColumnRenamed("host", "_of"))
-    if (found.agg(F.sum(F.size("hashes") + 4)).first()[0] or 0) <= BROADCAST_ROWS:
+    hosted = pages.select(*kept, source).withColumn("_host", F.coalesce(host_col(F.col(url)), F.lit("")))
+    found = cut(templates(hosted, "_host", source).withColumnsRenamed({"host": "_of", "page": "_page"}))
+    if (found.agg(F.sum(F.size("hashes") + 12)).first()[0] or 0) <= BROADCAST_ROWS:
         found = F.broadcast(found)
-    joined = hosted.join(found, F.col("_host") == F.col("_of"), "left").select(*kept, source, "hashes")
+    joined = hosted.join(found, (F.col("_host") == F.col("_of")) & (page_key(F.col(source)) == F.col("_page")), "left").select(*kept, source, "hashes")
 
     def work(batches):
         sets: dict[tuple, frozenset[int]] = {}
