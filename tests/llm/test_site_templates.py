@@ -26,6 +26,15 @@ def test_boxes_of_copied_articles_stay(spark):
     assert all(got[4 + i] == words(i) for i in range(8))  # what recurs under different articles is a template
 
 
+def test_templates_of_large_hosts(spark):
+    menu = "<div><p>all of this section</p></div>"
+    pages = [(menu if i < 20 else "") + f"<div><p>{words(i)}</p></div>" for i in range(200)]
+    cells = [f"<table><tr><td>yes</td><td>{words(1000 + i)}</td></tr></table>" for i in range(5)]
+    got = texts(spark, pages + cells + [menu + "<p>brief</p>"])
+    assert all(got[i] == words(i) for i in range(200))
+    assert all(got[200 + i] == f"yes\n\n{words(1000 + i)}" for i in range(5)) and got[205] == "brief"
+
+
 def test_copies_of_a_page_are_one_content(spark):
     page = f"<div><p>{words('p')}</p></div><div><p>{words('q')}</p></div>"
     assert set(texts(spark, [f"<title>{i}</title>{page}" for i in range(5)]).values()) == {f"{words('p')}\n\n{words('q')}"}
