@@ -213,24 +213,44 @@ class Shard:
             todo, beam = todo[full], self._wider(beam)
         return out
 
+    def _audit(self, q: np.ndarray, norm: np.ndarray) -> None:
+        """Widen the beam until the mean share of its links that a query finds is RECALL.
+
+        A query's own vector is no link here, and queries whose links fill the beam, which are searched again with a
+        wider one anyway, say nothing.  Further queries are drawn where those drawn have no links.
+        """
+        drawn = np.random.default_rng(len(q)).permutation(len(q))[: 8 * AUDIT]
+        at: list[int] = []
+        links: list[np.ndarray] = []
+        for lo in range(0, len(drawn), AUDIT):
+            part = drawn[lo : lo + AUDIT]
+            cos = (q[part] @ self.v.T) / (norm[part, None] * self.norm)
+            for t, c in zip(part, cos, strict=True):
+                near = np.flatnonzero(c >= self.threshold)
+                own = near[c[near] >= 1 - 1e-9]
+                others = np.setdiff1d(near, own[(self.v[own] == q[t]).all(1)])
+                if len(others) and len(near) < self.beam:
+                    at.append(t)
+                    links.append(others)
+            if self.audited + len(at) >= AUDIT:
+                break
+        self.audited += len(at)
+        while at and self.beam < len(self.v):
+            found = self._search(q[at], norm[at], self.beam)
+            if np.mean([np.isin(want, got).mean() for want, got in zip(links, found, strict=True)]) >= RECALL:
+                break
+            self.beam = self._wider(self.beam)
+
     def links(self, q: np.ndarray) -> list[np.ndarray]:
         """Members within the threshold of each query, itself included where it is one."""
         norm = np.linalg.norm(q, axis=1)
-        n = min(AUDIT - self.audited, len(q))
-        if n > 0:
-            at = np.linspace(0, len(q) - 1, n).astype(int)
-            exact = (q[at] @ self.v.T) / (norm[at, None] * self.norm) >= self.threshold
-            self.audited += n
-            while self.beam < len(self.v):
-                found = self._search(q[at], norm[at], self.beam)
-                if sum(map(len, found)) >= RECALL * exact.sum():
-                    break
-                self.beam = self._wider(self.beam)
+        if self.audited < AUDIT and self.beam < len(self.v):
+            self._audit(q, norm)
         return [x for lo in range(0, len(q), 4 * _Q) for x in self._search(q[lo : lo + 4 * _Q], norm[lo : lo + 4 * _Q], self.beam)]
 
 
 def _ask(threshold: float):
-    """Rows sorted by (label, dim, shard, block, asks): a shard's members, then its queries -> link counts and edges."""
+    """Rows sorted by (label, dim, shard, block, asks), else in no order: a shard's members, then its queries -> link counts and edges."""
     names = ["label", "dim", "shard", "block", "asks", "rep", "n", "v"]
 
     def work(batches):
@@ -292,7 +312,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     members = sized.select("label", "dim", own_shard.alias("shard"), each("blocks").alias("block"), F.lit(0).alias("asks"), "rep", "n", "v")
     queries = sized.select("label", "dim", each("shards").alias("shard"), own_block.alias("block"), F.lit(1).alias("asks"), "rep", "n", "v")
-    dealt = members.union(queries).repartition(partitions(df), "label", "dim", "shard", "block").sortWithinPartitions("label", "dim", "shard", "block", "asks", "rep")
+    dealt = members.union(queries).repartition(partitions(df), "label", "dim", "shard", "block").sortWithinPartitions("label", "dim", "shard", "block", "asks", F.xxhash64("rep", F.lit(1)))  # the first queries are drawn from the whole block
     found = cut(map_arrow(dealt, _ask(threshold), "kind int, a long, b long"))
     counts = found.where("kind = 0").groupBy("a").agg((F.sum("b") - 1).alias("n_links"))
     # A query that misses itself still has itself as a member: never less than its own copies.
