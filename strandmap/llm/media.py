@@ -103,13 +103,26 @@ class Track:
     sizes: list[int] | tuple[int, int] = (0, 0)  # (size of all, number) or one each
     chunks: list[int] = field(default_factory=list)
     sync: list[int] | None = None
+    id: int = 0
+    defaults: tuple[int, int, int] = (0, 0, 0)  # duration, size and flags of fragment samples
+    runs: list[tuple[int, int, int, bool]] = field(default_factory=list)  # offset, bytes, duration and key frame of each fragment sample
 
     def count(self) -> int:
-        return self.sizes[1] if isinstance(self.sizes, tuple) else len(self.sizes)
+        return self._listed() + len(self.runs)
+
+    def ticks(self) -> int:
+        """Duration in units of the time scale; that of fragments is in their runs."""
+        return sum(n * d for n, d in self.stts) + sum(r[2] for r in self.runs) if self.runs else self.duration
 
     def ranges(self) -> list[tuple[int, int]]:
         """(offset, bytes) of each sample."""
-        out, n, run = [], self.count(), 0
+        return self._tabled() + [(at, n) for at, n, _, _ in self.runs]
+
+    def _listed(self) -> int:
+        return self.sizes[1] if isinstance(self.sizes, tuple) else len(self.sizes)
+
+    def _tabled(self) -> list[tuple[int, int]]:
+        out, n, run = [], self._listed(), 0
         for c, at in enumerate(self.chunks, 1):
             while run + 1 < len(self.stsc) and self.stsc[run + 1][0] <= c:
                 run += 1
@@ -124,6 +137,16 @@ class Track:
         return out
 
 
+@dataclass
+class Fragment:
+    """A track's part of a fragment: where its offsets count from, where its next run begins, and what samples have by default."""
+
+    track: Track
+    base: int
+    at: int
+    defaults: tuple[int, int, int]
+
+
 def walk(data: memoryview, lo: int, hi: int, path: tuple = ()):
     """(path, kind, start of body, end) of every box; a size of 0 reaches to the end, 1 means a 64-bit size follows."""
     while lo < hi:
@@ -155,13 +178,60 @@ def parse(media: bytes) -> list[Track]:
             raise MediaError("a table is longer than its box")
         return list(struct.iter_unpack(">" + form, data[at : at + n * each]))
 
+    def runs(t: Track, lo: int, hi: int, fragment: Fragment) -> None:
+        flags, n = struct.unpack_from(">II", data, lo)
+        flags, at = flags & 0xFFFFFF, lo + 8
+        if flags & 1:
+            fragment.at, at = fragment.base + struct.unpack_from(">i", data, at)[0], at + 4
+        first = None
+        if flags & 4:
+            first, at = struct.unpack_from(">I", data, at)[0], at + 4
+        if n > len(data):
+            raise MediaError(f"a run of {n} samples")
+        own = [bool(flags & f) for f in (0x100, 0x200, 0x400, 0x800)]
+        rows = table("I" * sum(own), at, hi, n) if any(own) else [()] * n
+        for i, row in enumerate(rows):
+            given = iter(row)
+            duration, size, kind = (next(given) if has else default for has, default in zip(own, fragment.defaults, strict=False))
+            kind = first if i == 0 and first is not None else kind
+            t.runs.append((fragment.at, size, duration, not kind & 0x10000))
+            fragment.at += size
+
+    moof, fragment = 0, None
     for _, kind, lo, hi in walk(data, 0, len(data)):
         if kind == b"trak":
             tracks.append(Track())
+        if kind == b"moof":
+            moof, fragment = lo - (8 if data[lo - 4 : lo] == b"moof" else 16), None
+        elif kind == b"trex":
+            of, _, *defaults = struct.unpack_from(">5I", data, lo + 4)
+            for t in tracks:
+                if t.id == of:
+                    t.defaults = tuple(defaults)
+        elif kind == b"tfhd":
+            flags, of = struct.unpack_from(">II", data, lo)
+            t = next((t for t in tracks if t.id == of), None)
+            if t is None:
+                raise MediaError(f"a fragment of track {of}, which isn't there")
+            base = moof if flags & 0x20000 or fragment is None else fragment.at
+            at, defaults = lo + 8, list(t.defaults)
+            if flags & 1:
+                base, at = struct.unpack_from(">Q", data, at)[0], at + 8
+            at += 4 if flags & 2 else 0
+            for i, f in enumerate((8, 0x10, 0x20)):
+                if flags & f:
+                    defaults[i], at = struct.unpack_from(">I", data, at)[0], at + 4
+            fragment = Fragment(t, base, base, tuple(defaults))
+        elif kind == b"trun":
+            if fragment is None:
+                raise MediaError("a run without a header of its fragment")
+            runs(fragment.track, lo, hi, fragment)
         if not tracks or hi - lo < 8:
             continue
         t = tracks[-1]
-        if kind == b"hdlr":
+        if kind == b"tkhd":
+            t.id = struct.unpack_from(">I", data, lo + (20 if data[lo] == 1 else 12))[0]
+        elif kind == b"hdlr":
             t.kind = bytes(data[lo + 8 : lo + 12]).decode("latin-1")
         elif kind == b"mdhd":
             t.timescale, t.duration = struct.unpack_from(">IQ" if data[lo] == 1 else ">II", data, lo + (20 if data[lo] == 1 else 12))
@@ -186,8 +256,9 @@ def parse(media: bytes) -> list[Track]:
 
 def key_ranges(track: Track) -> list[tuple[int, int]]:
     """(offset, bytes) of each key frame; every sample is one where the container has no list of them."""
-    own = track.ranges()
-    return own if track.sync is None else [own[i - 1] for i in track.sync if 1 <= i <= len(own)]
+    own = track._tabled()
+    listed = own if track.sync is None else [own[i - 1] for i in track.sync if 1 <= i <= len(own)]
+    return listed + [(at, n) for at, n, _, key in track.runs if key]
 
 
 def samples(media: bytes, track: Track) -> bytes:
@@ -247,7 +318,14 @@ def with_media(df: DataFrame, text: str = "text", to: str = "media", n_bytes: st
     return map_arrow(df, work, out)
 
 
-INFO = "struct<codec: string, timescale: long, duration_s: double, n_samples: long, n_keyframes: long, keyframes: array<struct<offset: long, bytes: long>>>"
+_TRACK = "codec: string, timescale: long, duration_s: double, n_samples: long, n_keyframes: long, keyframes: array<struct<offset: long, bytes: long>>"
+#: What is told of the first track, and of every track in ``tracks``.
+INFO = f"struct<{_TRACK}, tracks: array<struct<kind: string, {_TRACK}>>>"
+
+
+def _told(t: Track) -> dict:
+    keys = key_ranges(t)
+    return {"kind": t.kind, "codec": t.codec, "timescale": t.timescale, "duration_s": t.ticks() / t.timescale if t.timescale else None, "n_samples": t.count(), "n_keyframes": len(keys), "keyframes": [{"offset": a, "bytes": n} for a, n in keys]}
 
 
 def info(media: bytes | None) -> dict | None:
@@ -258,15 +336,14 @@ def info(media: bytes | None) -> dict | None:
         tracks = parse(media)
         if not tracks:
             return None
-        t = tracks[0]
-        keys = key_ranges(t)
-        return {"codec": t.codec, "timescale": t.timescale, "duration_s": t.duration / t.timescale if t.timescale else None, "n_samples": t.count(), "n_keyframes": len(keys), "keyframes": [{"offset": a, "bytes": n} for a, n in keys]}
+        told = [_told(t) for t in tracks]
+        return {**{k: v for k, v in told[0].items() if k != "kind"}, "tracks": told}
     except (MediaError, struct.error):
         return None
 
 
 def probe(df: DataFrame, media: str = "media", to: str = "info") -> DataFrame:
-    """df with codec, time scale, duration, samples and key frame byte ranges of each container in struct ``to``; payload bytes are not read."""
+    """df with codec, time scale, duration, samples and key frame byte ranges of each container, and of each of its tracks, in struct ``to``; payload bytes are not read."""
     df = df.drop(*{to} - {media})
     names = df.columns
     out = schema_with(df, **{to: INFO})
