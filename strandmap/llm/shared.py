@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,6 +65,22 @@ def word_count(text) -> F.col:
     return F.element_at(marks, 1).cast("long")
 
 
+def masked(df: DataFrame, *replaced: str, **helpers: Column) -> tuple[DataFrame, list[Column], dict[str, str]]:
+    """df with its columns renamed to c0, c1, ... and further columns ``helpers``, so that none of these can clash with df's own.
+
+    Columns named in ``replaced`` are left out.  Gives the frame, the columns that bear their own names again, and the new name of each.
+    """
+    names = df.drop(*replaced).columns
+    new = {n: f"c{i}" for i, n in enumerate(names)}
+    out = df.select(*[F.col(quoted(n)).alias(c) for n, c in new.items()], *[c.alias(n) for n, c in helpers.items()])
+    return out, [F.col(c).alias(n) for n, c in new.items()], new
+
+
+def quoted(name: str) -> str:
+    """A column name as a reference: dots and blanks in it mean nothing."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def partitions(df: DataFrame) -> int:
     """Shuffle partitions of the session."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
