@@ -6,6 +6,9 @@ Biometrika 1998; with weights: Gandhi et al., "Dependent Rounding", JACM 2006):
 until one of their probabilities is integral, the other goes on to the next pair.  So the words taken from a source are
 its target but for the last document's rounding, while each document keeps its expectation.  Rows of a source are dealt
 into buckets by hash, each bucket ends with one fractional residual at most, and residuals are combined in a tree.
+
+What is rounded are narrow rows, (hash of the row, size, number of such rows); the rows themselves are read once to make
+these and once to be joined with what was decided.  Rows alike in every column are one narrow row.
 """
 
 from __future__ import annotations
@@ -14,19 +17,27 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandmap.llm.shared import cut, map_arrow, partitions, schema_with, written
+from strandmap.llm.shared import cut, map_arrow, masked, partitions, row_key, schema_with
 
 #: Rows in a bucket of the first level, on average.
 BUCKET_ROWS = 256
 #: Residuals combined in one step of the tree.
 FAN_IN = 64
+#: Bits of a group's number that its bucket takes; the rest are the source's rank.
+BUCKET_BITS = 32
+#: Narrow source rows up to this many (some 80 bytes each) are broadcast; more are joined by a shuffle, with the same result.
+BROADCAST_SOURCES = 100_000
+#: Rows that one row of a group of rows alike in every column is repeated to at a time.
+REPEATS = 10_000
 
 
 def targets(sizes: dict[str | None, int], weights: Sequence[float], share: float, most: float) -> dict[str | None, float]:
-    """Words to take of each source: ``share`` of all sizes by the sources' weights, none above ``most`` times its size.
+    """The law of the targets, for sources in memory; `goals` finds the same for a table of them.
+
+    Words to take of each source: ``share`` of all sizes by the sources' weights, none above ``most`` times its size.
 
     Sources in code point order, null last, take the weights in turn.  What a capped source can't hold is shared again
     by weight among the others until none is above.
@@ -37,7 +48,7 @@ def targets(sizes: dict[str | None, int], weights: Sequence[float], share: float
     left, open_ = share * sum(sizes.values()), list(names)
     while open_:
         total = sum(weight[s] for s in open_)
-        over = [s for s in open_ if left * weight[s] / total >= most * sizes[s]]
+        over = [s for s in open_ if total and left * weight[s] / total >= most * sizes[s]]
         if not over or total == 0:
             out |= {s: left * weight[s] / total if total else 0.0 for s in open_}
             break
@@ -159,47 +170,69 @@ def _round_groups(names: list[str], level: int):
 
 
 def _rounded(df: DataFrame, level: int) -> DataFrame:
-    df = df.repartition(partitions(df), "_group").sortWithinPartitions("_group", F.desc("_size"), "_tie")
+    df = df.repartition(partitions(df), "_group").sortWithinPartitions("_group", F.desc("_size"), "_t1", "_t2")
     return map_arrow(df, _round_groups(df.columns, level), schema_with(df, _up="int"))
 
 
-def mix(df: DataFrame, size: Column, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, source_col: str = "source") -> DataFrame:
-    """df with ``size`` (long), ``source_size``, ``target`` (of the row's source) and ``copies`` (int) for every row.
+def ranked(sources: DataFrame, source: str) -> DataFrame:
+    """sources with ``_rank``: their place in code point order, null last.  Ranges of sources are ranked apart and offset by the counts before them."""
+    dealt = sources.repartitionByRange(partitions(sources), F.col(source).asc_nulls_last()).withColumn("_range", F.spark_partition_id())
+    dealt = cut(dealt)
+    counts = dealt.groupBy("_range").agg(F.count("*").alias("_n"))  # a row for each partition
+    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(F.col(source).asc_nulls_last()))
+    return dealt.withColumn("_own", own).join(F.broadcast(before), "_range").withColumn("_rank", F.col("_before") + F.col("_own") - 1).drop("_range", "_own", "_before")
 
-    ``sum(copies * size)`` of each source is its target but for one document's rounding; copies are 0 to ``most`` rounded
-    up, and never take more than ``most`` times a document's size where ``most`` is whole.  A null source is a source
-    of its own, a null size counts 0, repeated rows are rows of their own, existing columns of these names are replaced
-    and an empty table stays empty.  The choice depends on the rows alone: reruns agree.  The driver sees one row
-    for each source.
+
+def goals(sources: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
+    """``sources(_rank, _n, ...)`` with ``_goal``, by the law of `targets`.
+
+    The driver sees sums for each weight, not the sources: a source is capped if its part of what is left is more than it may
+    give, which raises the others' parts, so that those capped stay so, until no further one is.
     """
-    spark = df.sparkSession
-    names = [c for c in df.columns if c not in ("size", "source_size", "target", "copies")]
-    sized = df.withColumn("_size", F.coalesce(size, F.lit(0)).cast("long")).select(*names, "_size")
-    sized = sized.withColumn("_tie", F.xxhash64(*names))
-    totals = sized.groupBy(source_col).agg(F.sum("_size").alias("n"), F.count("*").alias("rows")).collect()
-    sizes = {r[source_col]: r["n"] for r in totals}
-    goal = targets(sizes, weights, share, most)
-    order = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
-    rows_of = {r[source_col]: r["rows"] for r in totals}
-    table = []
-    for i, s in enumerate(order):
-        rate = min(goal[s] / sizes[s], most) if sizes[s] else 0.0
-        whole = int(rate + 1e-9)
-        table.append((s, i, float(sizes[s]), goal[s], whole, max(rate - whole, 0.0), -(-rows_of[s] // BUCKET_ROWS)))
-    rates = spark.createDataFrame(table, f"_source {dict(df.dtypes)[source_col]}, _rank long, source_size double, target double, _whole int, _part double, _buckets long")
-    if len(table) <= 100_000:  # the size is known here; more sources are joined by a shuffle
-        rates = F.broadcast(rates)
+    k = len(weights)
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_rank") % k + 1).cast("int"))
+
+    def sums(over: Column) -> tuple[int, int, float]:
+        """Capped sources, their sizes, and the weight of the others."""
+        rows = sources.groupBy((F.col("_rank") % k).alias("i")).agg(F.count_if(over).alias("over"), F.count_if(~over).alias("open"), F.sum(F.when(over, F.col("_n"))).alias("n")).collect()
+        return sum(r["over"] for r in rows), sum(r["n"] or 0 for r in rows), sum(float(weights[r["i"]]) * r["open"] for r in sorted(rows, key=lambda r: r["i"]))
+
+    all_ = sources.agg(F.sum("_n")).first()[0] or 0
+    over, capped = F.lit(False), 0
+    left, (_, _, total) = share * all_, sums(over)
+    while total > 0:
+        own = F.lit(left) * weight / F.lit(total)
+        over = own >= F.lit(float(most)) * F.col("_n")
+        now, n, rest = sums(over)
+        if now == capped:
+            break
+        capped, left, total = now, max(share * all_ - most * n, 0.0), rest
+    part = F.lit(left) * weight / F.lit(total) if total > 0 else F.lit(0.0)
+    return sources.withColumn("_goal", F.when(over, F.lit(float(most)) * F.col("_n")).otherwise(part).cast("double"))
+
+
+def decisions(narrow: DataFrame, weights: Sequence[float], share: float, most: float, source: str) -> DataFrame:
+    """``narrow(_t1, _t2, _size, _count, source)`` with ``source_size``, ``target``, ``_whole`` (copies of each such row at least) and ``_more`` (rows of the ``_count`` that get one more)."""
+    sources = narrow.groupBy(source).agg(F.sum(F.col("_size") * F.col("_count")).alias("_n"), F.sum("_count").alias("_rows"))
+    found = goals(cut(ranked(sources, source)), weights, share, most)
+    rate = F.when(F.col("_n") > 0, F.least(F.col("_goal") / F.col("_n"), F.lit(float(most)))).otherwise(F.lit(0.0))
+    found = found.withColumn("_rate", rate).withColumn("_whole", F.floor(F.col("_rate") + 1e-9).cast("int"))
+    rates = cut(found.select(F.col(source).alias("_source"), "_rank", F.col("_n").alias("source_size"), F.col("_goal").alias("target"), "_whole", F.greatest(F.col("_rate") - F.col("_whole"), F.lit(0.0)).alias("_rest"), F.ceil(F.col("_rows") / BUCKET_ROWS).cast("long").alias("_buckets")))
+    seen = rates.agg(F.count("*").alias("n"), F.max("_buckets").alias("deepest")).first()
+    rated = narrow.join(F.broadcast(rates) if seen["n"] <= BROADCAST_SOURCES else rates, narrow[source].eqNullSafe(F.col("_source"))).drop("_source", source)
+    # Of rows alike in every column all whole ones of their expected copies are sure; one of them keeps the fraction.
+    mass = F.col("_rest") * F.col("_count")
+    rated = rated.withColumn("_sure", F.floor(mass + 1e-9)).withColumn("_part", F.greatest(mass - F.col("_sure"), F.lit(0.0))).drop("_rest")
     # _group: rank of the source, then the bucket; a parent's number drops factors of FAN_IN.
-    rated = sized.join(rates, sized[source_col].eqNullSafe(F.col("_source"))).drop("_source")
-    rated = rated.withColumn("_group", F.shiftleft("_rank", 40) + F.pmod(F.col("_tie"), F.col("_buckets")))
-    first = written(_rounded(rated, 0), "mix")
-    left = cut(first.where("_up is null").select("_group", "_size", "_part", "_tie", F.col("_group").alias("_first")))
-    deepest = max((t[6] for t in table), default=1)
-    decided, level = None, 1
+    rated = rated.withColumn("_group", F.shiftleft("_rank", BUCKET_BITS) + F.pmod(F.col("_t1"), F.col("_buckets"))).drop("_rank", "_buckets")
+    first = cut(_rounded(rated, 0))
+    left = cut(first.where("_up is null").select("_group", "_size", "_part", "_t1", "_t2", F.col("_group").alias("_first")))
+    deepest, decided, level = seen["deepest"] or 1, None, 1
     while deepest > 1:
         deepest = -(-deepest // FAN_IN)
-        mask = F.lit((1 << 40) - 1).cast("long")
-        up_one = F.col("_group") - F.col("_group").bitwiseAND(mask) + F.expr(f"(_group & {(1 << 40) - 1}L) div {FAN_IN}")
+        mask = (1 << BUCKET_BITS) - 1
+        up_one = F.col("_group") - F.col("_group").bitwiseAND(F.lit(mask).cast("long")) + F.expr(f"(_group & {mask}L) div {FAN_IN}")
         out = cut(_rounded(left.withColumn("_group", up_one), level))
         done = out.where("_up is not null").select("_first", F.col("_up").alias("_later"))
         decided = done if decided is None else decided.union(done)
@@ -207,10 +240,38 @@ def mix(df: DataFrame, size: Column, weights: Sequence[float] = (3, 1, 2), share
         level += 1
     # The last residual of a source has nothing left to pair with: the nearer whole number keeps the source nearest its target.
     last = left.select("_first", (F.col("_part") >= 0.5).cast("int").alias("_later"))
-    decided = last if decided is None else decided.union(last)
-    decided = decided.withColumnRenamed("_first", "_group")
+    decided = (last if decided is None else decided.union(last)).withColumnRenamed("_first", "_group")
     # Only the residual rows, one in a bucket, are joined.
     settled = first.where("_up is not null").withColumn("_later", F.lit(None).cast("int"))
-    open_rows = settled.unionByName(first.where("_up is null").join(decided, "_group", "left"))
-    copies = (F.col("_whole") + F.coalesce("_up", "_later", F.lit(0))).cast("int")
-    return open_rows.select(*names, F.col("_size").alias("size"), F.col("source_size").cast("long").alias("source_size"), "target", copies.alias("copies"))
+    both = settled.unionByName(first.where("_up is null").join(decided, "_group", "left"))
+    return both.select("_t1", "_t2", "_size", "_count", "source_size", "target", "_whole", (F.col("_sure") + F.coalesce("_up", "_later", F.lit(0))).alias("_more"))
+
+
+def mix(df: DataFrame, size: Column, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, source_col: str = "source") -> DataFrame:
+    """df with ``size`` (long), ``source_size``, ``target`` (of the row's source) and ``copies`` (int) for every row.
+
+    ``sum(copies * size)`` of each source is its target but for one document's rounding; copies are 0 to ``most`` rounded
+    up, and never take more than ``most`` times a document's size where ``most`` is whole.  A null source is a source
+    of its own, a null size counts 0, repeated rows are rows of their own (which of them gets more copies makes no
+    difference), long texts count whole, existing columns of these names are replaced, others may have any name, and an
+    empty table stays empty.  The choice depends on the rows alone: reruns agree.  The driver sees sums, not sources.
+    """
+    own, back, new = masked(df, "size", "source_size", "target", "copies", _size=F.coalesce(size, F.lit(0)).cast("long"))
+    columns = list(new.values())
+    keyed = own.withColumns({"_t1": row_key(own, columns, 1), "_t2": row_key(own, columns, 2)})
+    narrow = cut(keyed.groupBy("_t1", "_t2", "_size", F.col(new[source_col]).alias("_from")).agg(F.count("*").alias("_count")))
+    decided = cut(decisions(narrow, weights, share, most, "_from"))
+    rows = keyed.drop("_size")
+    told = [F.col("_size").alias("size"), "source_size", "target"]
+    once = rows.join(decided.where("_count = 1 or _more = 0 or _more = _count"), ["_t1", "_t2"])
+    out = once.select(*back, *told, (F.col("_whole") + (F.col("_more") > 0).cast("int")).alias("copies"))
+    # Some of several rows alike in every column get one more: one of them is kept and repeated as often as they are.
+    several = decided.where("_count > 1 and _more > 0 and _more < _count")
+    if several.isEmpty():
+        return out
+    parts = [F.struct((F.col("_whole") + F.lit(i)).alias("copies"), n.alias("n")) for i, n in ((1, F.col("_more")), (0, F.col("_count") - F.col("_more")))]
+    pieces = several.withColumn("_part", F.explode(F.array(*parts))).withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_part.n") - 1, F.lit(REPEATS).cast("long"))))
+    pieces = pieces.select("_t1", "_t2", *told, "_part.copies", F.least(F.lit(REPEATS), F.col("_part.n") - F.col("_at")).alias("_rows"), "_at")
+    kept = rows.join(several.select("_t1", "_t2"), ["_t1", "_t2"], "left_semi").groupBy("_t1", "_t2").agg(F.first(F.struct(*columns)).alias("own"))
+    again = kept.join(pieces, ["_t1", "_t2"]).repartition("_t1", "_at", "copies").withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rows"))))
+    return out.unionAll(again.select("own.*", "size", "source_size", "target", "copies"))

@@ -92,7 +92,7 @@ def op8_embedding_dedup(spark, sf_dir):
 
 def op9_source_mixing(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("n_words"))
-    mixed = mixing.mix(docs, F.col("n_words"), weights=(3, 1, 2), share=1.5, most=2.0)
+    mixed = mixing.mix(cut(docs), F.col("n_words"), weights=(3, 1, 2), share=1.5, most=2.0)  # the texts are read once
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 

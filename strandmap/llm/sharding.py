@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandmap.llm.shared import cut, masked
+from strandmap.llm.shared import cut, masked, row_key
 
 #: First probes: this many top bits of the text hash, so 65,536 counts reach the driver.
 TOP_BITS = 16
@@ -64,7 +64,7 @@ def size_bytes(text):
 def keys(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list]:
     """df under masked names with its sort key and size, and the columns that give its names back.
 
-    The third hash is of a text form of the other columns that tells nulls apart, so rows of one key are alike in every column.
+    The third hash is of all other columns, nulls told apart, so rows of one key are alike in every column.
     """
     positive = F.lit((1 << 62) - 1).cast("long")
     masked_df, own, new = masked(df, "size", "shard", "slot")
@@ -74,7 +74,7 @@ def keys(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list]:
         "*",
         F.xxhash64(text).alias("_k1"),
         F.xxhash64(F.lit("id"), id_).bitwiseAND(positive).alias("_k2"),
-        (F.xxhash64(F.to_json(F.struct(*rest))).bitwiseAND(positive) if rest else F.lit(0).cast("long")).alias("_k3"),
+        row_key(masked_df, rest, 3).bitwiseAND(positive).alias("_k3"),
         size_bytes(text).alias("_size"),
     )
     return keyed.withColumn("_top", F.shiftright("_k1", SHIFT).cast("int")), own

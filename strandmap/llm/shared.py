@@ -76,6 +76,14 @@ def masked(df: DataFrame, *replaced: str, **helpers: Column) -> tuple[DataFrame,
     return out, [F.col(c).alias(n) for n, c in new.items()], new
 
 
+def row_key(df: DataFrame, columns: list[str], seed: int) -> Column:
+    """64-bit hash of all columns of a row that tells nulls from each other's places; nested ones are hashed as text."""
+    kinds = dict(df.dtypes)
+    flat = [F.to_json(F.struct(c)) if kinds[c].startswith(("array", "map", "struct")) else F.col(c) for c in columns]
+    nulls = [F.isnull(c) for c in columns]
+    return F.xxhash64(F.lit(seed), *nulls, *flat)
+
+
 def quoted(name: str) -> str:
     """A column name as a reference: dots and blanks in it mean nothing."""
     return "`" + name.replace("`", "``") + "`"
