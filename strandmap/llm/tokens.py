@@ -34,8 +34,11 @@ from strandmap.llm.shared import map_arrow, own_folder, partitions
 MAGIC = b"SMPLANE1"
 #: Ids in a block.
 BLOCK_IDS = 1 << 16
-#: Pieces and words whose ids one worker keeps in each of two generations.
-KEPT_PIECES = 400_000
+#: Bytes of pieces, words and their ids that one worker keeps in each of two generations of a table, and characters of the
+#: longest piece that is kept: text without spaces is one piece for each paragraph and rarely met again.
+KEPT_BYTES, KEPT_CHARS = 48 << 20, 64
+#: About what an entry takes beside its characters and ids: two object headers and a place in the table.
+ENTRY_BYTES = 190
 FOOTER = struct.Struct("<QQQQ8s")  # place of the documents, of the index, blocks, ids, magic
 ENTRY = struct.Struct("<QI4I")  # place, ids, plane lengths
 
@@ -51,15 +54,18 @@ class Known(dict):
 
     def __init__(self, make):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.old, self.held = make, {}, 0
 
     def __missing__(self, key: str) -> bytes:
         out = self.old.get(key)
         if out is None:
             out = self.make(key)
-        if len(self) >= KEPT_PIECES:
-            self.old = dict(self)
+        if len(key) > KEPT_CHARS:
+            return out
+        if self.held >= KEPT_BYTES:
+            self.old, self.held = dict(self), 0
             self.clear()
+        self.held += ENTRY_BYTES + 4 * len(key) + len(out)  # a character takes 4 bytes at most
         self[key] = out
         return out
 
@@ -275,12 +281,16 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, id_col: st
     """Encode every whole text (null: empty), append ``end_id``, and write ids in ascending order of the ids, nulls first.
 
     Gives the manifest: ``path, start, n_docs, n_ids`` for each file, in order; start counts the ids before the file.
-    Repeated ids keep a document each, in order of text.  An empty table gives an empty manifest.
+    Repeated ids keep a document each, in order of a hash of the text, and may go over several files, as may null ids.
+    Long texts are encoded whole.  An empty table gives an empty manifest.  Columns of other names are left alone.
+
+    ``folder`` must be of a scheme that `pyarrow.fs.FileSystem.from_uri` opens (file, s3, gs, hdfs where libhdfs is installed).
     """
     spark = docs.sparkSession
     folder = folder or own_folder(spark, "tokens")
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    ordered = ordered.repartitionByRange(partitions(docs), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # The hash and the row's number split an id that many rows have; the rows of one id and text are alike.
+    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    ordered = ordered.repartitionByRange(partitions(docs), F.col("doc_id").asc_nulls_first(), "hash", "row").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "hash").select("doc_id", "text")
 
     def work(batches):
         fs, base = pa.fs.FileSystem.from_uri(folder)
@@ -296,7 +306,6 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, id_col: st
                 name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}-{uuid.uuid4().hex}.planes"
                 sink = fs.open_output_stream(f"{base}/{name}")
                 writer = Writer(sink)
-                first = x["doc_id"][0].as_py()
             ids, texts = x["doc_id"].to_pylist(), x["text"]
             for lo in range(0, len(ids), 256):
                 for d, i in zip(ids[lo : lo + 256], encode(texts.slice(lo, 256).to_pylist()), strict=True):
@@ -305,10 +314,10 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, id_col: st
         if writer is not None:
             writer.finish()
             sink.close()
-            yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "first": [first], "n_docs": [len(writer.lengths)], "n_ids": [writer.n_ids]}, pa.schema([("path", pa.string()), ("first", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+            yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "part": [context.partitionId()], "n_docs": [len(writer.lengths)], "n_ids": [writer.n_ids]}, pa.schema([("path", pa.string()), ("part", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    files = map_arrow(ordered, work, "path string, first long, n_docs long, n_ids long").collect()  # a row for each partition
-    files.sort(key=lambda r: (r["first"] is not None, r["first"]))
+    files = map_arrow(ordered, work, "path string, part long, n_docs long, n_ids long").collect()  # a row for each partition, which are ranges in order
+    files.sort(key=lambda r: r["part"])
     rows, start = [], 0
     for r in files:
         rows.append((r["path"], start, r["n_docs"], r["n_ids"]))
