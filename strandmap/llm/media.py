@@ -7,7 +7,9 @@ out by those tables.
 
 from __future__ import annotations
 
+import hashlib
 import struct
+import zlib
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -27,6 +29,10 @@ KEY_EVERY = 32
 CONTAINERS = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"dinf": 0, b"stbl": 0, b"edts": 0, b"udta": 0, b"mvex": 0, b"moof": 0, b"traf": 0, b"mfra": 0}
 
 
+#: Deeper nesting than this is no container of the standard, whose deepest boxes lie seven deep.
+DEEPEST = 32
+
+
 class MediaError(ValueError):
     """The bytes aren't a well-formed container."""
 
@@ -149,7 +155,11 @@ class Fragment:
 
 def walk(data: memoryview, lo: int, hi: int, path: tuple = ()):
     """(path, kind, start of body, end) of every box; a size of 0 reaches to the end, 1 means a 64-bit size follows."""
-    while lo < hi:
+    open_ = [(lo, hi, path)]
+    while open_:
+        lo, hi, path = open_.pop()
+        if lo >= hi:
+            continue
         if hi - lo < 8:
             raise MediaError(f"{hi - lo} bytes left over at {lo}")
         n, kind = struct.unpack_from(">I4s", data, lo)
@@ -163,9 +173,24 @@ def walk(data: memoryview, lo: int, hi: int, path: tuple = ()):
         if n < body - lo or lo + n > hi:
             raise MediaError(f"box {kind!r} at {lo} has {n} bytes")
         yield path, kind, body, lo + n
+        open_.append((lo + n, hi, path))
         if kind in CONTAINERS:
-            yield from walk(data, body + CONTAINERS[kind], lo + n, (*path, kind))
-        lo += n
+            if len(path) >= DEEPEST:
+                raise MediaError(f"boxes at {lo} are nested more than {DEEPEST} deep")
+            open_.append((body + CONTAINERS[kind], lo + n, (*path, kind)))
+
+
+def compact_sizes(data: memoryview, lo: int, hi: int) -> list[int]:
+    """Sample sizes of a compact table: 4, 8 or 16 bits each, the high half of a byte first."""
+    bits, n = struct.unpack_from(">xxxBI", data, lo + 4)
+    if bits not in (4, 8, 16) or lo + 12 + -(-n * bits // 8) > hi:
+        raise MediaError(f"a compact table of {n} sizes of {bits} bits")
+    raw = data[lo + 12 : lo + 12 + -(-n * bits // 8)]
+    if bits == 8:
+        return list(raw)
+    if bits == 16:
+        return [x for (x,) in struct.iter_unpack(">H", raw)]
+    return [x for byte in raw for x in (byte >> 4, byte & 15)][:n]
 
 
 def parse(media: bytes) -> list[Track]:
@@ -240,6 +265,8 @@ def parse(media: bytes) -> list[Track]:
         elif kind == b"stsz":
             size, n = struct.unpack_from(">II", data, lo + 4)
             t.sizes = (size, n) if size else [x for (x,) in table("I", lo + 12, hi, n)]
+        elif kind == b"stz2":
+            t.sizes = compact_sizes(data, lo, hi)
         elif kind in (b"stts", b"stsc", b"stco", b"co64", b"stss"):
             n = struct.unpack_from(">I", data, lo + 4)[0]
             rows = table({b"stts": "II", b"stsc": "III", b"stco": "I", b"co64": "Q", b"stss": "I"}[kind], lo + 8, hi, n)
@@ -300,7 +327,7 @@ def _by_bytes(x: pa.RecordBatch, column: int):
 def with_media(df: DataFrame, text: str = "text", to: str = "media", n_bytes: str = "n_bytes") -> DataFrame:
     """df with the container of each whole text's bytes (null: empty) in the binary column ``to``, instead of the text, and its unpadded bytes.
 
-    Existing columns of these names are replaced; equal texts give equal containers.
+    Existing columns of these names are replaced; equal texts give equal containers; an empty table stays empty.
     """
     df = df.drop(*{to, n_bytes} - {text})
     names = df.columns
@@ -358,28 +385,44 @@ def probe(df: DataFrame, media: str = "media", to: str = "info") -> DataFrame:
     return map_arrow(df, work, out)
 
 
+#: Columns of `read_back`.
+READ = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string", "keyframes": "array<struct<offset: long, bytes: long>>"}
+
+
+def features(stored: bytes | None) -> tuple | None:
+    """What `read_back` tells of one container; null for null and malformed bytes, and where the first track has no samples."""
+    if stored is None:
+        return None
+    try:
+        t = parse(stored)[0]
+        payload, keys = samples(stored, t), key_ranges(t)
+        feature = f"{t.codec}|{t.timescale}|{t.count()}|{t.ticks() / t.timescale:.6f}|{len(keys)}|{keys[0][0]}+{keys[0][1]}|{keys[-1][0]}+{keys[-1][1]}"
+    except (MediaError, struct.error, IndexError, ZeroDivisionError):
+        return None
+    told = [{"offset": a, "bytes": n} for a, n in keys]
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, told
+
+
 def read_back(df: DataFrame, media: str = "media") -> DataFrame:
-    """df without the container but with ``payload_bytes``, ``payload_sha256``, ``tail_crc32``, ``media_bytes``, ``media_sha256`` and ``feature``, all from the stored bytes.
+    """df without the container but with the columns of READ, all from the stored bytes of its first track.
 
-    feature is ``codec|time scale|samples|seconds|key frames|first key frame|last key frame``.
+    feature is ``codec|time scale|samples|seconds|key frames|first key frame|last key frame``; ``keyframes`` has the byte
+    range of every key frame.  Null and malformed containers, and those without samples, give nulls.  Existing columns of these names
+    are replaced, repeated rows stay, an empty table stays empty.
     """
-    import hashlib
-    import zlib
-
+    df = df.drop(*READ.keys() - {media})
     names = df.columns
     kept = [c for c in names if c != media]
-    out = schema_with(df.select(*kept), payload_bytes="long", payload_sha256="string", tail_crc32="long", media_bytes="long", media_sha256="string", feature="string")
+    out = schema_with(df.select(*kept), **READ)
 
     def work(batches):
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        kinds = [to_arrow_type(out[c].dataType) for c in READ]
+        none = (None,) * len(READ)
         for x in batches:
-            rows: list[tuple] = []
-            for v in x.column(names.index(media)):
-                stored = v.as_py()
-                t = parse(stored)[0]
-                payload, keys = samples(stored, t), key_ranges(t)
-                feature = f"{t.codec}|{t.timescale}|{t.count()}|{t.duration / t.timescale:.6f}|{len(keys)}|{keys[0][0]}+{keys[0][1]}|{keys[-1][0]}+{keys[-1][1]}"
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature))
-            columns = [pa.array(list(c), f) for c, f in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)] if rows else [pa.array([], f) for f in (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())]
+            rows = [features(v.as_py()) or none for v in x.column(names.index(media))]
+            columns = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * len(READ), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*(x.column(names.index(c)) for c in kept), *columns], out.names)
 
     return map_arrow(df, work, out)

@@ -48,3 +48,25 @@ def test_fragments_are_decoded():
     a, b = media.parse(file)
     assert media.samples(file, a) == payload[:15] and media.samples(file, b) == payload[15:]
     assert media.info(moov + box(b"moof", box(b"traf", full(b"tfhd", u(3))))) is None
+
+
+def test_compact_sizes_are_decoded():
+    for bits, raw, want in ((4, bytes([0x35, 0x70]), [3, 5, 7]), (8, bytes([3, 200, 7]), [3, 200, 7]), (16, struct.pack(">HHH", 3, 999, 7), [3, 999, 7])):
+        own = [full(b"stts", u(1, 3, 10)), full(b"stsc", u(1, 1, 3, 1)), full(b"stz2", bytes(3), bytes([bits]), u(3), raw), full(b"stco", u(1, 70)), full(b"stss", u(1, 2))]
+        seen = media.info(box(b"moov", trak(1, b"vide", b"avc1", *own)))
+        assert seen["n_samples"] == 3 and seen["keyframes"] == [{"offset": 70 + want[0], "bytes": want[1]}]
+        assert media.info(box(b"moov", trak(1, b"vide", b"avc1", *own[:2], full(b"stz2", bytes(3), bytes([bits]), u(99), raw), own[3]))) is None
+
+
+def test_read_back_of_null_and_malformed_containers(spark):
+    good = media.mux(b"x" * 192 * 70)
+    deep = b""
+    for _ in range(3000):
+        deep = box(b"moov", deep)
+    files = [good, None, b"", b"abc", good[:-1], box(b"moov", trak(1, b"soun", b"mp4a")), deep, good]
+    df = spark.createDataFrame([(i, None if f is None else bytearray(f), "clash", "c") for i, f in enumerate(files)], "id long, media binary, feature string, info string")
+    out = {r["id"]: r for r in media.read_back(df).collect()}
+    assert out[0]["payload_bytes"] == 192 * 70 and out[0]["feature"] == out[7]["feature"] and out[0]["info"] == "c"
+    assert [tuple(k) for k in out[0]["keyframes"]] == media.key_ranges(media.parse(good)[0]) and len(out[0]["keyframes"]) == 3
+    assert all(out[i]["feature"] is None and out[i]["payload_bytes"] is None and out[i]["keyframes"] is None for i in range(1, 7))
+    assert [r["info"] is not None for r in media.probe(df).orderBy("id").collect()] == [True, False, False, False, False, True, False, True]
