@@ -34,14 +34,20 @@ URLS = [
 ]
 
 
-@pytest.mark.parametrize("shipped", [1 << 20, 0])
-def test_url_filter(spark, monkeypatch, shipped):
-    monkeypatch.setattr(urlfilter, "SHIPPED", shipped)
+@pytest.mark.parametrize("ranges", [0, 1, 3])
+def test_url_filter(spark, ranges):
+    def judge(df, rules, **options):
+        if not ranges:
+            return urlfilter.judge(df, rules, **options)
+        return urlfilter.judge_table(df, spark.createDataFrame(rules, "host string, path string, verdict string"), ranges=ranges, **options)
+
     df = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(URLS + URLS)], "page_id long, url string, rule string")
-    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urlfilter.judge(df, RULES).collect()}
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in judge(df, RULES).collect()}
     assert got == {i: judged(u) for i, u in enumerate(URLS + URLS)}
-    assert urlfilter.judge(df.limit(0), RULES).count() == 0
-    assert {r["verdict"] for r in urlfilter.judge(df, [], default="block").collect()} == {"block"}
+    assert judge(df.limit(0), RULES).count() == 0
+    assert {r["verdict"] for r in judge(df, [], default="block").collect()} == {"block"}
+    long = spark.createDataFrame([(1, "http://" + "a." * 300_000 + "net/" + "x" * 300_000)], "page_id long, url string")
+    assert [(len(r["host"]), len(r["path"]), r["rule"]) for r in judge(long, RULES).collect()] == [(600_003, 300_001, "net/")]
 
 
 def test_digest_array(tmp_path, monkeypatch):
