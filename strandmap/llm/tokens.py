@@ -36,7 +36,7 @@ MAGIC = b"SMPLANE1"
 BLOCK_IDS = 1 << 16
 #: Bytes of pieces, words and their ids that one worker keeps in each of two generations of a table, and characters of the
 #: longest piece that is kept: text without spaces is one piece for each paragraph and rarely met again.
-KEPT_BYTES, KEPT_CHARS = 48 << 20, 64
+KEPT_BYTES, KEPT_CHARS = 112 << 20, 64
 #: About what an entry takes beside its characters and ids: two object headers and a place in the table.
 ENTRY_BYTES = 190
 FOOTER = struct.Struct("<QQQQ8s")  # place of the documents, of the index, blocks, ids, magic
@@ -60,12 +60,13 @@ class Known(dict):
         out = self.old.get(key)
         if out is None:
             out = self.make(key)
-        if len(key) > KEPT_CHARS:
+        n = len(key)
+        if n > KEPT_CHARS:
             return out
         if self.held >= KEPT_BYTES:
             self.old, self.held = dict(self), 0
             self.clear()
-        self.held += ENTRY_BYTES + 4 * len(key) + len(out)  # a character takes 4 bytes at most
+        self.held += ENTRY_BYTES + 4 * n + len(out)  # a character takes 4 bytes at most
         self[key] = out
         return out
 
@@ -91,38 +92,35 @@ class Encoder:
         pre = self.tokenizer.pre_tokenizer
         self.cuts = type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and self.tokenizer.normalizer is None
         if self.cuts:
-            self.model = self.tokenizer.model
             # The pre-tokenizer's letter for each byte, learned from it: it gives the 256 letters in order of the bytes it writes them for.
             self.letters = _byte_letters(ByteLevel(add_prefix_space=False, use_regex=False))
-            self.space = self.letters[32]
-            self.ascii_as_is = all(self.letters[b] == chr(b) for b in range(128) if chr(b).isalpha())
-        self.pieces = Known(lambda x: self._piece(x, " "))
-        self.spaced = Known(lambda w: self._word(" " + w))
-        self.bare = Known(self._word)
-        self.signs = Known(lambda s: self._encode([s])[0] if s else b"")
+            self.signs = Known(lambda s: self._encode([s])[0] if s else b"")
+            self.pieces, self.bare = self._table(" "), self._table("")
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _word(self, word: str) -> bytes:
-        """Ids of letters alone, perhaps after a space."""
-        if self.ascii_as_is and word.isascii():
-            raw = word.replace(" ", self.space)
-        else:
-            raw = word.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(raw)]).tobytes()
-
-    def _piece(self, piece: str, lead: str) -> bytes:
-        """Ids of a piece between two cuts."""
-        word = piece.rstrip(SIGNS)
-        if word.isalpha():
-            own = (self.spaced if lead else self.bare)[word]
-            return own if len(word) == len(piece) else own + self.signs[piece[len(word) :]]
-        if "\n" in piece:
-            a, _, b = piece.partition("\n")
-            if a and b and "\n" not in b and not a[-1].isspace() and not b[0].isspace():
-                return self._piece(a, lead) + self.signs["\n"] + self._piece(b, "")
-        return self._encode([lead + piece])[0]
+    def _table(self, lead: str) -> Known:
+        """Ids of pieces between two cuts, after a space or not."""
+        tokenize, letters, signs = self.tokenizer.model.tokenize, self.letters, self.signs
+        letter = letters[32] if lead else ""
+        as_is = all(letters[b] == chr(b) for b in range(128) if chr(b).isalpha())
+
+        def make(piece: str) -> bytes:
+            word = piece.rstrip(SIGNS)
+            if word.isalpha():
+                if len(word) < len(piece):
+                    return own[word] + signs[piece[len(word) :]]
+                raw = letter + (word if as_is and word.isascii() else word.encode().decode("latin-1").translate(letters))
+                return array("I", [t.id for t in tokenize(raw)]).tobytes()
+            if "\n" in piece:
+                a, _, b = piece.partition("\n")
+                if a and b and "\n" not in b and not a[-1].isspace() and not b[0].isspace():
+                    return own[a] + signs["\n"] + self.bare[b]
+            return self._encode([lead + piece])[0]
+
+        own = Known(make)
+        return own
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text (null: empty), each with the end id."""
@@ -132,7 +130,7 @@ class Encoder:
         for t in texts:
             t = t or ""
             first, *rest = _SPLIT.split(t) if _BLANK.search(t) else t.split(" ")
-            out.append(b"".join([self._piece(first, "") if first else b"", *map(ids, rest), self.end]))
+            out.append(b"".join([self.bare[first] if first else b"", *map(ids, rest), self.end]))
         return out
 
 

@@ -19,7 +19,7 @@ def test_kept_pieces_are_bounded_in_bytes(tokenizer, monkeypatch):
     texts = [f"w{i} 漢字{i}かな " + "漢" * (i % 300) + f" word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} x" for i in range(1500)]
     for t, ids in zip(texts, encode(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == [*plain.encode(t, add_special_tokens=False).ids, 0]
-    for table in (encode.pieces, encode.spaced, encode.bare, encode.signs):
+    for table in (encode.pieces, encode.bare, encode.signs):
         assert all(len(k) <= tokens.KEPT_CHARS for k in [*table, *table.old])
         for kept in (table, table.old):
             assert sum(tokens.ENTRY_BYTES + 4 * len(k) + len(v) for k, v in kept.items()) <= 21_000
