@@ -117,25 +117,28 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "quality", sample: int = SAMPLE) -> Model:
-    """A model from the rows of ``labels(id_col, label)``, of which ``sample`` at most, least by a hash of the id, are used.
+    """A model from ``sample`` rows of ``labels`` at most, those that come first by a hash of the id.
 
-    Null labels and labels of other ids are left out; without any labelled document every score is 0.5.
+    Null labels and ids, and labels of other ids, are left out; repeated rows count each, as do both labels of one id.
+    Of several documents of one id the one with the least hash of its text is learned from.  Without any labelled document every score is 0.5.
     """
     df, n = document_frequencies(docs, text)
     idf = np.log((1.0 + n) / (1.0 + df)) + 1.0
     chosen = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_label"))
-    chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "_label").limit(sample)
+    chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "_label").limit(sample).groupBy("_id", "_label").agg(F.count("*").alias("_times"))
 
     def work(batches):
         for x in batches:
             for lo, hi, c in _blocks(x.column(0)):
                 rows = [v.astype(np.float16).tobytes() for v in weigh(c, idf)]
-                yield pa.RecordBatch.from_arrays([x.column(1).slice(lo, hi - lo), x.column(2).slice(lo, hi - lo), pa.array(rows, pa.binary())], ["id", "label", "v"])
+                yield pa.RecordBatch.from_arrays([*(x.column(i).slice(lo, hi - lo) for i in (1, 2, 3)), pa.array(rows, pa.binary())], ["id", "label", "times", "v"])
 
-    own = docs.select(F.col(text).alias("text"), F.col(id_col).alias("_id")).join(F.broadcast(chosen), "_id").select("text", F.xxhash64("_id").alias("id"), "_label")
-    table = map_arrow(own, work, "id long, label int, v binary").orderBy("id", "label", "v").limit(4 * sample).toArrow()
+    own = docs.select(F.col(text).alias("text"), F.col(id_col).alias("_id")).join(F.broadcast(chosen), "_id")
+    own = own.groupBy("_id", "_label", "_times").agg(F.min_by(F.struct("text"), F.xxhash64("text")).alias("of")).select("of.text", F.xxhash64("_id").alias("id"), "_label", "_times")
+    table = map_arrow(own, work, "id long, label int, times long, v binary").orderBy("id", "label", "v").toArrow()  # sample rows at most
     x = np.frombuffer(b"".join(table["v"].to_pylist()), np.float16).reshape(-1, TERMS).astype(np.float32)
-    y = table["label"].to_numpy().astype(float) if len(table) else np.zeros(0)
+    times = table["times"].to_numpy() if len(table) else np.zeros(0, np.int64)
+    x, y = np.repeat(x, times, axis=0), np.repeat(table["label"].to_numpy().astype(float), times) if len(table) else np.zeros(0)
     if not len(x):
         return Model(idf, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), y)
     _, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
@@ -146,7 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
 def score(docs: DataFrame, model: Model, text: str = "text", to: str = "score") -> DataFrame:
     """docs with the quality score of each whole text in column ``to`` (0 to 1, higher: label 1 is likelier); an existing one is replaced.
 
-    Null and wordless texts get the share of label 1 among the labelled rows.
+    Null and wordless texts get the share of label 1 among the labelled rows.  Long texts count whole, repeated rows each; of
+    labelled rows as near as the last voter some vote, the same ones for the same vectors.  An empty table stays empty.
     """
     docs = docs.drop(to)
     names = docs.columns
