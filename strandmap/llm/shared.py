@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,6 +66,21 @@ def word_count(text) -> F.col:
     return F.element_at(marks, 1).cast("long")
 
 
+def put(uri: str, data: bytes) -> None:
+    """Write a file in a folder of `own_folder` (its scheme must be one that pyarrow opens); used on executors."""
+    fs, path = pa.fs.FileSystem.from_uri(uri)
+    fs.create_dir(path.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(path) as f:
+        f.write(data)
+
+
+def get(uri: str) -> bytes:
+    """Read a file of `put`."""
+    fs, path = pa.fs.FileSystem.from_uri(uri)
+    with fs.open_input_stream(path) as f:
+        return f.read()
+
+
 def masked(df: DataFrame, *replaced: str, **helpers: Column) -> tuple[DataFrame, list[Column], dict[str, str]]:
     """df with its columns renamed to c0, c1, ... and further columns ``helpers``, so that none of these can clash with df's own.
 
