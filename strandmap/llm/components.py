@@ -88,9 +88,11 @@ def components(edges: DataFrame) -> DataFrame:
         if state["n"] == state["children"] and e.join(e.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
             break
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # Minima are cut, so that both sides of their joins are plain shuffles, which Spark splits where a node has many neighbours.
+        low = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = cut(large)
+        least = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").select(
             F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")
         )

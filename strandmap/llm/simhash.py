@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandmap.llm.components import Forest, components
-from strandmap.llm.shared import cut, map_arrow, partitions, schema_with
-from strandmap.llm.textscan import minima, shingle_sets, simhash, text_bytes
+from strandmap.llm.shared import cut, map_arrow, partitions, schema_with, written
+from strandmap.llm.textscan import majority, minima, shingle_sets, simhash, text_bytes
 
 #: A bucket of more rows than this is not compared pairwise; its fingerprints go the exact way of `_hot_links`.
 BUCKET = 4096
@@ -293,8 +293,8 @@ ROWS = 4
 MET = 0.999
 #: Pairs whose minima tell a similarity this many standard errors below the wanted one are not compared exactly.
 ERRORS = 4
-#: Shingles in a slice of a group; a task compares two slices.
-SLICE = 1 << 20
+#: Nodes in a slice of a bucket, and shingles in a slice of a group; a task compares two slices.
+TILE, SLICE = 1024, 1 << 20
 
 
 def bands(similarity: float) -> int:
@@ -320,12 +320,12 @@ def _keys_of(sets: np.ndarray, sizes: np.ndarray, n_bands: int) -> tuple[np.ndar
 
 
 def _similar_links(similarity: float, least: int, width: int):
-    """Rows (k, v, a, b, node, n, sketch) sorted by key -> forest of the pairs within each key that may be this similar."""
+    """Rows (v, tile, node, n, sketch) sorted by key -> forest of the pairs within each key that may be this similar."""
 
     def work(batches):
         held, carry = Forest(), None
         for x in batches:
-            key = [x[c].to_numpy(zero_copy_only=False) for c in ("k", "v", "a", "b", "node", "n")]
+            key = [x[c].to_numpy(zero_copy_only=False) for c in ("v", "tile", "node", "n")]
             sketch = np.frombuffer(b"".join(x["sketch"].to_pylist()), np.uint8).reshape(-1, width)
             part = [*key, sketch]
             if carry is not None:
@@ -333,7 +333,7 @@ def _similar_links(similarity: float, least: int, width: int):
             if not len(part[0]):
                 continue
             last = np.ones(len(part[0]), bool)
-            for z in part[:4]:
+            for z in part[:2]:
                 last &= z == z[-1]
             cut_at = len(last) - int(np.argmin(last[::-1])) if not last.all() else 0
             carry = [z[cut_at:] for z in part]
@@ -393,7 +393,7 @@ def exact_links(nodes: np.ndarray, sizes: np.ndarray, sets: np.ndarray, similari
 
 
 def _exact(similarity: float):
-    """Rows (block, a, b, node, shingles) sorted by (block, a, b) -> forest of the exact links within each."""
+    """Rows (block, tile, node, shingles) sorted by (block, tile) -> forest of the exact links within each."""
 
     def work(batches):
         held, key = Forest(), None
@@ -407,10 +407,10 @@ def _exact(similarity: float):
             sets.clear()
 
         for x in batches:
-            for block, p, q, node, shingles in zip(*(x[c].to_pylist() for c in ("block", "a", "b", "node", "shingles")), strict=True):
-                if (block, p, q) != key:
+            for block, tile, node, shingles in zip(*(x[c].to_pylist() for c in ("block", "tile", "node", "shingles")), strict=True):
+                if (block, tile) != key:
                     yield from links_of()
-                    key = (block, p, q)
+                    key = (block, tile)
                 nodes.append(node)
                 sets.append(np.frombuffer(shingles, "<u8"))
         yield from links_of()
@@ -423,10 +423,14 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k:
     """(id, key, class) of every row: the key is that of its text (`text_key`), rows of one class are connected by links.
 
     Two texts are linked if their sets of k-word shingles (64-bit hashes of them) have this Jaccard similarity or more.
-    Equal sets are one node.  Candidates share a band of minima of the sets (Broder, "On the Resemblance and Containment of
-    Documents", 1997), of a number of bands that depends on nothing but the similarity; every link is then verified
-    on the sets themselves.  A bucket of more than BUCKET nodes, and a group of candidates of more than SLICE shingles, is
-    compared in tiles, each of two slices of it, so that no task holds more than two slices and no pair is left out.
+    Equal sets are one node; wordless and null texts are one.  Candidates are the pairs whose SimHash fingerprints, of the sets, `links`
+    finds within 2 bits, and, as fingerprints of 64 bits differ in some ten of them at 0.8, those that share a band of minima of the sets (Broder, "On the
+    Resemblance and Containment of Documents", 1997), of a number of bands that depends on nothing but the similarity.
+    Every link is then verified on the sets themselves.
+
+    A bucket of more than BUCKET nodes, and a group of candidates of more than SLICE shingles, falls into slices.  Each is first
+    compared with itself and with one of them, which joins a group of copies; then what isn't of its largest class is
+    compared with all of it.  So no pair of two classes is left out, and a group of copies takes time in proportion to it.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_key(F.col(text)).alias("key"), F.col(text).alias("text"))
     n_bands = bands(similarity)
@@ -439,48 +443,97 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k:
                 keys[sizes > 0], sketch[sizes > 0] = _keys_of(sets, sizes[sizes > 0], n_bands)
             ends = np.cumsum(sizes)
             digests = [xxhash.xxh3_128_digest(sets[e - n : e].tobytes()) for e, n in zip(ends, sizes, strict=True)]
-            columns = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(list(keys), pa.list_(pa.int64())), pa.array([r.tobytes() for r in sketch], pa.binary())]
-            yield pa.RecordBatch.from_arrays([x["id"], x["key"], *columns], ["id", "key", "digest", "n", "keys", "sketch"])
+            columns = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(majority(sets, sizes).view(np.int64)), pa.array(list(keys), pa.list_(pa.int64())), pa.array([r.tobytes() for r in sketch], pa.binary())]
+            yield pa.RecordBatch.from_arrays([x["id"], x["key"], *columns], ["id", "key", "digest", "n", "fp", "keys", "sketch"])
 
-    own = cut(map_arrow(rows, describe, "id long, key string, digest binary, n long, keys array<long>, sketch binary"))
-    distinct = own.groupBy("digest").agg(*[F.first(c).alias(c) for c in ("n", "keys", "sketch")], F.min(F.struct("id", "key")).alias("of"))
+    own = cut(map_arrow(rows, describe, "id long, key string, digest binary, n long, fp long, keys array<long>, sketch binary"))
+    distinct = own.groupBy("digest").agg(*[F.first(c).alias(c) for c in ("n", "fp", "keys", "sketch")], F.min(F.struct("id", "key")).alias("of"))
     distinct = cut(distinct.withColumn("node", F.monotonically_increasing_id()))
-    zero = F.lit(0).cast("long")
-    keyed = distinct.where("n > 0").select("node", "n", "sketch", F.posexplode("keys").alias("k", "v"))
-    hot = cut(keyed.groupBy("k", "v").count().where(F.col("count") > BUCKET))
-    columns = ["k", "v", "a", "b", "node", "n", "sketch"]
-    rest = keyed.withColumn("a", zero).withColumn("b", zero).select(*columns)
-    if not hot.isEmpty():
-        slices = hot.select("k", "v", F.ceil(F.col("count") / BUCKET).cast("long").alias("of"))
-        rest = rest.join(hot.select("k", "v"), ["k", "v"], "left_anti").select(*columns).union(_tiles(keyed.join(slices, ["k", "v"])).select(*columns))
-    dealt = rest.repartition(partitions(docs), "k", "v", "a", "b").sortWithinPartitions("k", "v", "a", "b", "node")
-    least = least_matches(n_bands * ROWS, similarity)
-    blocks = components(map_arrow(dealt, _similar_links(similarity, least, n_bands * ROWS), "a long, b long"))
-
-    members = distinct.join(blocks, distinct["node"] == blocks["id"]).select("node", F.col("component").alias("block"), "n", "of.id", "of.key")
-    members = cut(members)
-    sizes = members.groupBy("block").agg(F.ceil(F.sum("n") / SLICE).cast("long").alias("of"))
-    of_texts = members.join(sizes, "block").select("node", "block", "of", F.col("id").alias("_id"), F.col("key").alias("_key"))
-    whole = rows.join(of_texts, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).groupBy("node").agg(*[F.first(c).alias(c) for c in ("block", "of", "text")])
+    blocks = _candidates(distinct.where("n > 0"), n_bands, similarity)
+
+    members = cut(distinct.join(blocks, distinct["node"] == blocks["id"]).select("node", F.col("component").alias("block"), "n", "of.id", "of.key"))
+    of_texts = members.select("node", "block", F.col("id").alias("_id"), F.col("key").alias("_key"))
+    whole = rows.join(of_texts, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).groupBy("node").agg(*[F.first(c).alias(c) for c in ("block", "text")])
 
     def sets_of(batches):
         for x in batches:
             sets, sizes = shingle_sets(*text_bytes(x["text"]), k)
             ends = np.cumsum(sizes)
             shingles = pa.array([sets[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([x["node"], x["block"], x["of"], shingles], ["node", "block", "of", "shingles"])
-
-    tiles = _tiles(map_arrow(whole, sets_of, "node long, block long, of long, shingles binary")).select("block", "a", "b", "node", "shingles")
-    tiles = tiles.repartition(partitions(docs), "block", "a", "b").sortWithinPartitions("block", "a", "b", "node")
-    found = components(map_arrow(tiles, _exact(similarity), "a long, b long"))
+            yield pa.RecordBatch.from_arrays([x["node"], x["block"], shingles], ["node", "block", "shingles"])
+
+    sets = written(map_arrow(whole, sets_of, "node long, block long, shingles binary"), "shingles")
+    sizes = cut(members.groupBy("block").agg(F.ceil(F.sum("n") / SLICE).cast("long").alias("of")))
+
+    def verified(tiled: DataFrame) -> DataFrame:
+        dealt = tiled.repartition(partitions(docs), "block", "tile").sortWithinPartitions("block", "tile", "node")
+        return components(map_arrow(dealt.select("block", "tile", "node", "shingles"), _exact(similarity), "a long, b long"))
+
+    found = cut(verified(_first_tiles(sets.join(sizes, "block"))))
+    large = sizes.where("of > 1").select("block")
+    if not large.isEmpty():
+        some = members.select("node", "block", "n").join(large, "block").join(found, F.col("node") == F.col("id"), "left")
+        rest = _rest_tiles(some.select("node", F.col("block").alias("group"), F.col("n").alias("weight"), F.coalesce("component", "node").alias("class")), SLICE)
+        if not rest.isEmpty():
+            found = _joined(found, verified(sets.join(rest.select("node", "tile"), "node")))
     classes = distinct.join(found, distinct["node"] == found["id"], "left").select("digest", F.coalesce("component", "node").alias("class"))
     return own.select("id", "key", "digest").join(classes, "digest").select("id", "key", "class")
 
 
-def _tiles(rows: DataFrame) -> DataFrame:
-    """Each row (node, of: number of slices) once for every tile (a, b) of two slices that has its slice."""
-    dealt = rows.withColumn("_own", F.pmod(F.xxhash64("node"), F.col("of"))).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)))
-    return dealt.withColumn("a", F.least("_own", "_other")).withColumn("b", F.greatest("_own", "_other"))
+def _candidates(nodes: DataFrame, n_bands: int, similarity: float) -> DataFrame:
+    """(id, component) of the nodes (node, n, fp, keys, sketch) that some candidate pair holds."""
+    width = n_bands * ROWS
+    keyed = nodes.select("node", F.posexplode("keys").alias("k", "v")).select(F.xxhash64("k", "v").alias("v"), "node")
+    counts = cut(keyed.groupBy("v").agg(F.count("*").alias("count")).where("count > 1"))
+    met = cut(keyed.join(counts, "v"))
+    sketches = nodes.select("node", "n", "sketch")
+
+    def similar(tiled: DataFrame) -> DataFrame:
+        dealt = tiled.join(sketches, "node").repartition(partitions(nodes), "v", "tile").sortWithinPartitions("v", "tile", "node")
+        return map_arrow(dealt.select("v", "tile", "node", "n", "sketch"), _similar_links(similarity, least_matches(width, similarity), width), "a long, b long")
+
+    zero = F.lit(0).cast("long")
+    hot = met.where(F.col("count") > BUCKET).select("v", "node", F.ceil(F.col("count") / TILE).cast("long").alias("of"))
+    tiled = met.where(F.col("count") <= BUCKET).select("v", "node", zero.alias("tile")).unionAll(_first_tiles(hot).select("v", "node", "tile"))
+    # SimHash: equal fingerprints, and those within 2 bits.
+    fps = cut(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    near = links(fps.select("fp"), 2)
+    ends = near.join(fps.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(fps.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    edges = similar(tiled).unionAll(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).unionAll(nodes.select("node", "fp").join(fps, "fp").select(F.col("node").alias("a"), F.col("first").alias("b")))
+    found = components(edges)
+    if hot.isEmpty():
+        return found
+    found = cut(found)
+    some = hot.join(found, F.col("node") == F.col("id"), "left")
+    rest = _rest_tiles(some.select("node", F.col("v").alias("group"), F.lit(1).cast("long").alias("weight"), F.coalesce("component", "node").alias("class")), TILE)
+    return found if rest.isEmpty() else _joined(found, similar(rest.withColumnRenamed("group", "v")))
+
+
+def _first_tiles(rows: DataFrame) -> DataFrame:
+    """Rows (node, of: number of slices of its group) with ``tile``: the slice of each, and all of them for those of slice 0."""
+    own = F.pmod(F.xxhash64("node"), F.col("of"))
+    return rows.withColumn("tile", F.explode(F.when(own == 0, F.sequence(F.lit(0).cast("long"), F.col("of") - 1)).otherwise(F.array(own))))
+
+
+def _rest_tiles(rows: DataFrame, size: int) -> DataFrame:
+    """``group, node, tile`` of the groups whose rows (node, group, weight, class) are of several classes.
+
+    A tile has a slice of what isn't of the group's largest class, and a slice of the whole group, of about ``size`` weight each.
+    """
+    by = rows.groupBy("group", "class").agg(F.sum("weight").alias("w"))
+    per = by.groupBy("group").agg(F.max(F.struct("w", "class")).alias("most"), F.sum("w").alias("total")).where(F.col("total") > F.col("most.w"))
+    parts = cut(per.select("group", F.col("most.class").alias("giant"), F.ceil(F.col("total") / size).cast("long").alias("all"), F.ceil((F.col("total") - F.col("most.w")) / size).cast("long").alias("rest")))
+    dealt = rows.join(parts, "group").withColumns({"a": F.pmod(F.xxhash64("node"), F.col("rest")), "b": F.pmod(F.xxhash64("node", F.lit(1)), F.col("all"))})
+    zero = F.lit(0).cast("long")
+    across = F.transform(F.sequence(zero, F.col("rest") - 1), lambda a: a * F.col("all") + F.col("b"))
+    along = F.transform(F.sequence(zero, F.col("all") - 1), lambda b: F.col("a") * F.col("all") + b)
+    return cut(dealt.select("group", "node", F.explode(F.when(F.col("class") == F.col("giant"), across).otherwise(F.array_union(across, along))).alias("tile")))
+
+
+def _joined(found: DataFrame, more: DataFrame) -> DataFrame:
+    """Components of two graphs together; ``found`` is (id, component), ``more`` that or edges (a, b)."""
+    a, b = more.columns
+    return components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(more.select(F.col(a).alias("a"), F.col(b).alias("b"))))
 
 
 def text_key(text):

@@ -212,6 +212,22 @@ def shingle_sets(values: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.nd
     return np.concatenate(sets), np.concatenate(sizes)
 
 
+def majority(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit SimHash of each set of hashes, laid end to end: a bit is 1 if set in over half of them; 0 for an empty set."""
+    out = np.zeros(len(sizes), np.uint64)
+    rows = np.flatnonzero(sizes)
+    ones = np.zeros((len(rows), 64), np.int64)
+    ends = np.cumsum(sizes[rows])
+    for a in range(0, len(sets), WINDOWS):
+        b = min(a + WINDOWS, len(sets))
+        bits = np.unpackbits(sets[a:b].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        r0, r1 = int(np.searchsorted(ends, a, "right")), int(np.searchsorted(ends, b, "left")) + 1
+        starts = np.maximum(ends[r0:r1] - sizes[rows[r0:r1]], a) - a
+        ones[r0:r1] += np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+    out[rows] = np.packbits(2 * ones > sizes[rows][:, None], axis=1, bitorder="little").view("<u8")[:, 0] if len(rows) else out[rows]
+    return out
+
+
 def minima(sets: np.ndarray, starts: np.ndarray, count: int) -> np.ndarray:
     """The least value of each non-empty set, which begin at ``starts``, under each of ``count`` orders: (sets, count)."""
     out = np.empty((len(starts), count), np.uint64)
