@@ -13,9 +13,10 @@ import html as entities
 import re
 from bisect import bisect_right
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandmap.llm.shared import cut, map_arrow, masked, schema_with, written
@@ -25,8 +26,8 @@ from strandmap.llm.urlfilter import host_col
 MIN_PAGES = 3
 #: A part of a box (a cell, an item, a heading) must be in this share of them as well: words like "yes" recur by themselves.
 MIN_SHARE = 0.25
-#: More template rows than this are joined by a shuffle; fewer are broadcast (some 24 bytes each).
-BROADCAST_ROWS = 500_000
+#: Up to this many templates of hosts are broadcast, as a sorted array of 8 bytes each; more are joined with pages by a shuffle.
+BROADCAST_ROWS = 4_000_000
 
 # Element names of the public HTML standard by their kind, and usual class names of page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -349,14 +350,16 @@ class Page:
         hashes = {at: _hash(" ".join(words)) for at, words in texts.items()}
         return [hashes.get(at, 0) for at in own]
 
+    def hashes(self) -> list[tuple[int, int]]:
+        """(node, hash) of all that may be a template, by text and by structure."""
+        return [(i, self.hash[i]) for i in self.candidates(short=False)] + [(i, slot) for i, slot, _ in self.slots()]
+
     def text(self, templates: frozenset[int] | set[int] = frozenset()) -> str:
-        """Blocks of the main text, joined by an empty line."""
+        """Blocks of the main text, joined by an empty line, without subtrees whose hashes are in ``templates``."""
         gone = list(self.dropped)
         if templates:
-            for i in self.candidates(short=False):
-                gone[i] = gone[i] or self.hash[i] in templates
-            for i, slot, _ in self.slots():
-                gone[i] = gone[i] or slot in templates
+            for i, h in self.hashes():
+                gone[i] = gone[i] or h in templates
         for i in range(1, len(self.tag)):
             gone[i] = gone[i] or gone[self.parent[i]]
         keep = [not g for g in gone]
@@ -388,11 +391,11 @@ def signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def templates(pages: DataFrame, host: str = "host", source: str = "html") -> DataFrame:
-    """(host, page, hashes): for each page (`page_key`) those of its subtrees and structures, as signed 64-bit hashes, that are templates of its host.
+def _counted(pages: DataFrame, host: str, source: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (host, page, hash, ...) of the subtrees and structures of all pages, and the (host, hash) of those that are templates.
 
     By text: in MIN_PAGES different contents.  By structure: beside the main box in MIN_PAGES different contents, and in more of
-    them than it is on the way to it.  An array holds hashes of its own page alone, however many templates a host has.
+    them than it is on the way to it.
     """
 
     def work(batches):
@@ -416,12 +419,41 @@ def templates(pages: DataFrame, host: str = "host", source: str = "html") -> Dat
     counts = cut(counts.where(F.when(F.col("slots") > 0, (F.col("off") >= MIN_PAGES) & (2 * F.col("off") > F.col("slots"))).otherwise(F.col("n") >= MIN_PAGES)))
     of_host = counts.where("hash = 0").select("host", F.col("n").alias("contents"))
     found = counts.where("hash <> 0").join(of_host, "host", "left").where(~F.col("part") | (F.col("n") >= F.coalesce("contents", F.lit(0)) * MIN_SHARE))
-    found = cut(found.select("host", "hash"))
-    if found.count() <= BROADCAST_ROWS:
-        found = F.broadcast(found)
+    return rows, cut(found.select("host", "hash"))
+
+
+def templates(pages: DataFrame, host: str = "host", source: str = "html") -> DataFrame:
+    """(host, page, hashes): for each page (`page_key`) those of its subtrees and structures, as signed 64-bit hashes, that are templates of its host.
+
+    An array holds hashes of its own page alone, however many templates a host has.
+    """
+    return _of_pages(*_counted(pages, host, source))
+
+
+def _of_pages(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.select("host", "page", "hash").join(found, ["host", "hash"]).groupBy("host", "page").agg(F.sort_array(F.collect_set("hash")).alias("hashes"))
 
 
+class Known:
+    """The templates of one host among the sorted keys (`_host_key`) of those of all hosts, as a set of hashes."""
+
+    def __init__(self, keys: np.ndarray, host: str):
+        self.keys, self.seed = keys, xxhash.xxh64_intdigest(host.encode("utf-8", "surrogatepass"), 42)
+
+    def __contains__(self, h: int) -> bool:
+        key = np.int64(signed(xxhash.xxh64_intdigest(h.to_bytes(8, "little"), self.seed)))
+        at = int(np.searchsorted(self.keys, key))
+        return at < len(self.keys) and self.keys[at] == key
+
+    def __bool__(self) -> bool:
+        return len(self.keys) > 0
+
+
+def _host_key(host: Column, hash_: Column) -> Column:
+    """64-bit key of a host's template; `Known` makes the same of it."""
+    return F.xxhash64(host, hash_)
+
+
 def page_key(source):
     """What tells the pages of a host from each other; a null page is an empty one."""
     return F.md5(F.coalesce(source, F.lit("")))
@@ -437,24 +469,27 @@ def main_text(pages: DataFrame, url: str = "url", source: str = "html", to: str
     """
     own, back, new = masked(pages, to, _host=F.coalesce(host_col(F.col(url)), F.lit("")), _html=F.col(source))
     kept = [c for n, c in new.items() if n != source]
-    hosted = own.select(*kept, "_html", "_host")
-    found = cut(templates(hosted, "_host", "_html").withColumnsRenamed({"host": "_of", "page": "_page", "hashes": "_hashes"}))
-    if (found.agg(F.sum(F.size("_hashes") + 12)).first()[0] or 0) <= BROADCAST_ROWS:
-        found = F.broadcast(found)
-    joined = hosted.join(found, (F.col("_host") == F.col("_of")) & (page_key(F.col("_html")) == F.col("_page")), "left").select(*kept, "_html", "_hashes")
+    hosted = own.select(*kept, "_host", "_html")
+    rows, found = _counted(hosted, "_host", "_html")
+    if found.count() <= BROADCAST_ROWS:
+        keys = np.sort(found.select(_host_key(F.col("host"), F.col("hash")).alias("k")).toArrow()["k"].to_numpy())
+        shared = pages.sparkSession.sparkContext.broadcast(keys)
+
+        def known(host, _):
+            return Known(shared.value, host)
+
+        joined = hosted.withColumn("_hashes", F.lit(None).cast("array<long>"))
+    else:
+        arrays = _of_pages(rows, found).withColumnsRenamed({"host": "_of", "page": "_page", "hashes": "_hashes"})
+        joined = hosted.join(arrays, (F.col("_host") == F.col("_of")) & (page_key(F.col("_html")) == F.col("_page")), "left").select(*hosted.columns, "_hashes")
+
+        def known(_, hashes):
+            return frozenset(h & 0xFFFFFFFFFFFFFFFF for h in hashes or ())
 
     def work(batches):
-        sets: dict[tuple, frozenset[int]] = {}
         for x in batches:
-            out = []
-            for s, hashes in zip(x.column(len(kept)).to_pylist(), x.column(len(kept) + 1).to_pylist(), strict=True):
-                key = tuple(hashes or ())
-                known = sets.get(key)
-                if known is None:
-                    if len(sets) > 1000:
-                        sets.clear()
-                    known = sets[key] = frozenset(h & 0xFFFFFFFFFFFFFFFF for h in key)
-                out.append(Page(s).text(known))
+            told = (x.column(len(kept) + i).to_pylist() for i in range(3))
+            out = [Page(s).text(known(h, hashes)) for h, s, hashes in zip(*told, strict=True)]
             yield pa.RecordBatch.from_arrays([*x.columns[: len(kept)], pa.array(out, pa.string())], [*kept, "_text"])
 
     made = map_arrow(joined, work, schema_with(joined.select(*kept), _text="string"))

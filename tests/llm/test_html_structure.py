@@ -85,6 +85,14 @@ def test_tags_end_where_a_scan_from_each_place_says():
             assert tags.end(at) == (m.end() if m else s.find(">", at) + 1 or -1)
 
 
+def test_joined_templates_are_those_broadcast(spark, monkeypatch):
+    pages = [tuple(r) for r in spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html").collect()]
+    bare = [(i, u, re.sub(r"<(/?)(?:nav|footer|article)\b", r"<\1div", s or "").replace('class="ad"', 'class="x9"')) for i, u, s in pages]
+    whole = texts(spark, bare)
+    monkeypatch.setattr(html, "BROADCAST_ROWS", -1)
+    assert texts(spark, bare) == whole
+
+
 def test_names_that_helpers_have(spark):
     df = spark.createDataFrame([(1, "http://a.b/", "<p>x</p>", "h", "p", "q", "r")], "page_id long, url string, html string, hashes string, _host string, _page string, text string")
     row = html.main_text(df).first().asDict()
