@@ -6,8 +6,11 @@ structs, which is exploded.  The plan has one scan of each source and one Genera
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandmap.errors import EvaluationFault
 from strandmap.functions.scalar import text, to_declared
@@ -17,7 +20,7 @@ from strandmap.types import DATATYPES, Output, strip
 
 SCHEMA = "subject string, predicate string, object string, object_kind string, datatype string, lang string, graph string"
 NAMES = ["subject", "predicate", "object", "object_kind", "datatype", "lang", "graph"]
-#: Elements of one exploded array; more are exploded in groups, over the same rows.
+#: Elements of one array; arrays of more are made of several, and exploded as one.
 WIDEST = 400
 
 
@@ -27,17 +30,25 @@ def subject(out: Output) -> Column:
     return F.concat_ws("", F.lit(out.record.base), own) if out.record.base else own
 
 
-def elements(out: Output, k: int, strict: bool) -> list[tuple[dict[str, Column], Column]]:
+def _types(frame: Frame) -> list[list[T.DataType]]:
+    """Types of the values of each output, found by one analysis of them all."""
+    flat = [c.alias(f"_{k}_{j}") for k, out in enumerate(frame.outputs) for j, (_, c) in enumerate(out.values)]
+    kinds = iter(f.dataType for f in frame.source.select(*flat).schema.fields) if flat else iter(())
+    return [[next(kinds) for _ in out.values] for out in frame.outputs]
+
+
+def elements(out: Output, k: int, strict: bool, types: list[T.DataType]) -> list[tuple[dict[str, tuple[Column, Callable | None]], Column]]:
     """For each quad that output ``k`` makes of a row: the columns it needs, and over those the quad, null where there is none.
 
-    Terms are columns of their own, so that subjects, which all quads of an output share, are made and checked once.
+    Terms are columns of their own, so that subjects, which all quads of an output share, are made and checked once;
+    a column that is a function of another one (name, function) is made after that, so that it is computed once too.
     """
     if not out.args:
         raise EvaluationFault(f"records of {out.record.name} have no subject: its constructor has no argument")
     null = F.lit(None).cast("string")
-    shared = {f"_s{k}": terms.resource(subject(out))}
+    shared = {f"_s{k}": (subject(out), terms.resource)}
     if len(out.args) > 1:
-        shared[f"_g{k}"] = terms.resource(text(out.args[1]))
+        shared[f"_g{k}"] = (text(out.args[1]), terms.resource)
     s, g = F.col(f"_s{k}"), F.col(f"_g{k}") if len(out.args) > 1 else null
 
     def quad(p: str, value: Column, kind: Column, datatype: Column, lang: Column = null) -> Column:
@@ -52,14 +63,14 @@ def elements(out: Output, k: int, strict: bool) -> list[tuple[dict[str, Column],
         if f.uri is None:
             continue
         own = f"_v{k}_{j}"
-        lexical = to_declared(value, f.type).cast("string")
+        lexical = to_declared(value, f.type, types[j]).cast("string")
         xsd = DATATYPES.get(strip(f.type))
         if xsd:  # numbers and booleans never look like IRIs
-            found.append((shared | {own: lexical}, quad(terms.predicate(f.uri), F.col(own), F.lit("literal"), F.lit(xsd))))
+            found.append((shared | {own: (lexical, None)}, quad(terms.predicate(f.uri), F.col(own), F.lit("literal"), F.lit(xsd))))
         else:
             kind = F.col(f"{own}.object_kind")
             lang = F.when(kind == "literal", F.lit(terms.language(f.lang))) if f.lang else null
-            found.append((shared | {own: terms.object_term(lexical, strict)}, quad(terms.predicate(f.uri), F.col(f"{own}.object"), kind, null, lang)))
+            found.append((shared | {own: (lexical, lambda c: terms.object_term(c, strict))}, quad(terms.predicate(f.uri), F.col(f"{own}.object"), kind, null, lang)))
     return found
 
 
@@ -70,18 +81,16 @@ def quads(frame: Frame, distinct: bool = False, strict: bool = False) -> DataFra
     """
     if not frame.outputs:
         raise EvaluationFault("RDF output needs rows made by a record constructor")
-    parts = [e for k, out in enumerate(frame.outputs) for e in elements(out, k, strict)]
+    types = _types(frame)
+    parts = [e for k, out in enumerate(frame.outputs) for e in elements(out, k, strict, types[k])]
     if not parts:
         return frame.source.sparkSession.createDataFrame([], SCHEMA)
-    made = []
-    for lo in range(0, len(parts), WIDEST):
-        group = parts[lo : lo + WIDEST]
-        needed = {n: c for columns, _ in group for n, c in columns.items()}
-        rows = frame.source.select(*[c.alias(n) for n, c in needed.items()])
-        made.append(rows.select(F.explode(F.array(*[q for _, q in group])).alias("q")).where("q IS NOT NULL").select("q.*"))
-    out = made[0]
-    for m in made[1:]:
-        out = out.unionAll(m)
+    needed = {n: made for columns, _ in parts for n, made in columns.items()}
+    rows = frame.source.select(*[c.alias(n) for n, (c, _) in needed.items()])
+    rows = rows.select(*[(then(F.col(n)) if then else F.col(n)).alias(n) for n, (_, then) in needed.items()])
+    arrays = [F.array(*[q for _, q in parts[lo : lo + WIDEST]]) for lo in range(0, len(parts), WIDEST)]
+    whole = arrays[0] if len(arrays) == 1 else F.flatten(F.array(*arrays))
+    out = rows.select(F.explode(whole).alias("q")).where("q IS NOT NULL").select("q.*")
     return out.dropDuplicates() if distinct else out
 
 

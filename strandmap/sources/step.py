@@ -32,9 +32,12 @@ class _Derived:
 
 DERIVED = _Derived()
 
-_SKIP = re.compile(r"(?:\s+|/\*.*?\*/)*", re.S)
-_ENTITY = re.compile(r"#(\d+)\s*=\s*([A-Za-z_][A-Za-z0-9_]*)\s*\(")
-_STRING = re.compile(r"'((?:[^']|'')*)'", re.S)
+# No part of a text can be matched in two ways, so a cut-off file takes no longer than a whole one.
+_BLANK = r"(?:\s|/\*.*?\*/)*+"
+_SKIP = re.compile(_BLANK, re.S)
+#: What a search for entities meets: a string or a comment, each to its end or to that of the file, or the start of an entity.
+_NEXT = re.compile(rf"'[^']*+'?|/\*(?:.*?\*/|.*)|#(\d++){_BLANK}={_BLANK}([A-Za-z_][A-Za-z0-9_]*+){_BLANK}\(", re.S)
+_STRING = re.compile(r"'((?:[^']++|'')*+)'", re.S)
 _NUMBER = re.compile(r"[+-]?\d+(?:(\.\d*)?(?:[eE][+-]?\d+)?)")
 _ENUM = re.compile(r"\.([A-Za-z0-9_]+)\.")
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
@@ -118,23 +121,20 @@ class _Reader:
 
 
 def entities(text: str, kind: str) -> Iterator[tuple[int, tuple]]:
-    """(id, attributes) of every entity of a type, in order; the type's case doesn't matter.  Complex entities are passed over."""
+    """(id, attributes) of every entity of a type, in order; the type's case doesn't matter.
+
+    Complex entities are passed over, and so is what stands in strings and comments.  An entity of the type that is cut off is an error.
+    """
     wanted, at = kind.upper(), 0
     while True:
-        m = _ENTITY.search(text, at)
+        m = _NEXT.search(text, at)
         if not m:
             return
-        if m[2].upper() == wanted:
-            r = _Reader(text, m.end())
+        at = m.end()
+        if m[2] and m[2].upper() == wanted:
+            r = _Reader(text, at)
             yield int(m[1]), r.items()
             at = r.at
-        else:  # on to the end of this entity, strings passed over
-            at = m.end()
-            end = _END.match(text, at)
-            at = end.end() if end else len(text)
-
-
-_END = re.compile(r"(?:[^';]|'(?:[^']|'')*')*;", re.S)
 
 
 def as_string(value: object, enums: bool = False) -> str | None:
