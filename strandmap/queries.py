@@ -179,8 +179,7 @@ def str_extract(table, spark, sf_dir):
 
 @query(r"SELECT doc_id AS id, regexp_replace(text, '(\w)(\w) ', '<\2\1>') AS name FROM documents")
 def str_replace_first(table, spark, sf_dir):
-    text = F.regexp_replace("text", "x", "x")
-    return Frame(table("documents").source.select("doc_id", text.alias("t"))).each(lambda r: REGION(id=r.doc_id, name=fn.replace(r.t, r"([A-Za-z0-9_])([A-Za-z0-9_]) ", "<$2${1}>"))).mapped()
+    return table("documents").each(lambda r: REGION(id=r.doc_id, name=fn.replace(r.text, r"([A-Za-z0-9_])([A-Za-z0-9_]) ", "<$2${1}>"))).mapped()
 
 
 @query(r"SELECT doc_id AS id, regexp_replace(text, '([aeiou])\.', '\1!', 'g') AS name FROM documents")
@@ -360,9 +359,7 @@ ex:Nation { ex:name xsd:string }
 """
 
 
-@query(quads_sql(
-    (_C, TYPE, f"'{EX}Customer'", "iri", "", "customer WHERE c_mktsegment[1] IN ('B', 'F') AND true) AS customer"),
-).replace("FROM customer WHERE c_mktsegment[1] IN ('B', 'F') AND true) AS customer", "FROM (SELECT * FROM customer WHERE c_mktsegment[1] IN ('B', 'F')) AS customer"))
+@query(quads_sql((_C, TYPE, f"'{EX}Customer'", "iri", "", "(SELECT * FROM customer WHERE c_mktsegment[1] IN ('B', 'F')) AS customer")))
 def shex_validated(table, spark, sf_dir):
     """Constraints of a shape keep the rows; quads of its type."""
     record = shex.record(SHAPES, "Customer", "Customer", [("id", STRING)])

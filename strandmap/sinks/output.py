@@ -31,9 +31,11 @@ class Outputs:
         p = self._jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def write_lines(self, df: DataFrame, path: str, head: str = "", layout: str = "auto", tail: str = "") -> None:
-        """Write column ``value``; ``layout`` is one file, a folder of parts, or by size.  ``head`` starts a file, ``tail`` ends it;
-        a folder has the head in ``_header``."""
+    def write_lines(self, df: DataFrame, path: str, head: str = "", layout: str = "auto", tail: str = "", one_file: int = ONE_FILE) -> None:
+        """Write column ``value``; ``layout`` is one ``file``, a ``folder`` of parts, or ``auto``: a file up to ``one_file`` bytes.
+
+        ``head`` starts a file, ``tail`` ends it; a folder has the head in ``_header``.
+        """
         dest = target(path)
         staged = f"{dest}.staged-{uuid.uuid4().hex}"
         self._staged.append((staged, dest))
@@ -43,7 +45,7 @@ class Outputs:
             self._head(staged, fs, head)
             return
         parts = sorted((s for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")), key=lambda s: s.getPath().getName())
-        if layout == "auto" and sum(s.getLen() for s in parts) > ONE_FILE:
+        if layout == "auto" and sum(s.getLen() for s in parts) > one_file:
             self._head(staged, fs, head)
             return
         whole, _ = self._path(f"{staged}.one")

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmap.errors import InvalidExtension
+from strandmap.errors import InvalidArgument, InvalidExtension
 from strandmap.operators.frame import Frame
 from strandmap.plans import quads as plan
 from strandmap.sinks.output import Outputs
@@ -31,13 +31,19 @@ def lines(quads: DataFrame, format_: str) -> DataFrame:
 def serialize(frame: Frame, path: str, outputs: Outputs | None = None, distinct: bool = False, strict: bool = False, layout: str = "auto") -> str:
     """Write the quads of all outputs in the format of the path's extension (Turtle without one); gives the path.
 
-    JSON-LD and RDF/XML are one document and so always one file.  With ``outputs`` the file appears when those are committed, else at once.
+    JSON-LD and RDF/XML are one document and so one file; JSON-LD in a folder (``layout``) has a document on each line of its parts,
+    RDF/XML can't be a folder.  With ``outputs`` the file appears when those are committed, else at once.
     """
     format_ = format_of(path)
     own = outputs or Outputs(frame.source.sparkSession)
     try:
         head, tail = {"json": plan.JSON_LD, "xml": plan.RDF_XML}.get(format_, ("", ""))
-        own.write_lines(lines(plan.quads(frame, distinct, strict), format_), path, head, "file" if head else layout, tail)
+        made = lines(plan.quads(frame, distinct, strict), format_)
+        if head and layout == "folder":
+            if format_ == "xml":
+                raise InvalidArgument("RDF/XML is one document and can't be a folder")
+            made, head, tail = made.select(F.substr("value", F.lit(2)).alias("value")), "", ""  # without the comma
+        own.write_lines(made, path, head, "file" if head else layout, tail)
         if outputs is None:
             own.commit()
     except BaseException:
