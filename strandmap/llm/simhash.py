@@ -16,11 +16,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandmap.llm.components import Forest, components
-from strandmap.llm.shared import cut, map_arrow, partitions, schema_with, written
+from strandmap.llm.shared import cut, map_arrow, masked, partitions, quoted, schema_with, written
 from strandmap.llm.textscan import majority, minima, shingle_sets, simhash, text_bytes
 
 #: A bucket of more rows than this is not compared pairwise; its fingerprints go the exact way of `_hot_links`.
@@ -202,24 +202,36 @@ def _within(k, v, fp, own, radius, held):
         step += 1
 
 
-def _hot_links(fps: DataFrame) -> DataFrame:
-    """Links within 2 bits for fingerprints of overfull buckets, without comparing them pairwise.
+def _hot_links(fps: DataFrame, radius: int) -> DataFrame:
+    """Links within 1 or 2 bits for fingerprints of overfull buckets, without comparing them pairwise.
 
-    Two fingerprints differ in at most 2 bits exactly when some word is within 1 bit of both.  Each
-    fingerprint names its 65 such words; those that name the same word are chained.  A word has at most 65.
+    Two fingerprints differ in at most 2 bits exactly when some word is within 1 bit of both, and in at most 1 bit when one
+    of them is that word.  Each fingerprint names its 65 such words; those that name the same word are linked with the
+    first of them, for 1 bit with the word itself if it is one of them.  A word has at most 65.
     """
     words = fps.select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")) for m in ball(64, 1)])).alias("w"))
     words = words.repartition(partitions(fps), "w").sortWithinPartitions("w", "fp")
 
+    def star(w, fp):
+        """Edges of whole groups."""
+        first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(w))))
+        hub = fp[first][group] if radius == 2 else w
+        there = np.ones(len(w), bool) if radius == 2 else np.logical_or.reduceat(fp == w, first)[group]
+        ok = there & (fp != hub)
+        return fp[ok], hub[ok]
+
     def work(batches):
-        held, last = Forest(), None
+        held, w0, fp0 = Forest(), np.zeros(0, np.int64), np.zeros(0, np.int64)
         for x in batches:
-            w, fp = (x[c].to_numpy(zero_copy_only=False) for c in ("w", "fp"))
-            if last is not None:
-                w, fp = np.concatenate([last[0], w]), np.concatenate([last[1], fp])
-            same = w[1:] == w[:-1]
-            yield from held.add(fp[1:][same], fp[:-1][same])
-            last = (w[-1:], fp[-1:])
+            w, fp = (np.concatenate([z, x[c].to_numpy(zero_copy_only=False)]) for z, c in ((w0, "w"), (fp0, "fp")))
+            if len(w):
+                last = int(np.searchsorted(w, w[-1]))  # the last word may go on
+                if last:
+                    yield from held.add(*star(w[:last], fp[:last]))
+                w0, fp0 = w[last:], fp[last:]
+        if len(w0):
+            yield from held.add(*star(w0, fp0))
         yield from held.rest()
 
     return map_arrow(words, work, "a long, b long")
@@ -228,7 +240,7 @@ def _hot_links(fps: DataFrame) -> DataFrame:
 def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     """Edges (a, b) between distinct fingerprints ``fps(fp)`` that connect all pairs within ``radius`` bits."""
     if radius not in (1, 2):
-        raise ValueError("radius must be 1 or 2: overfull buckets have an exact way only there")
+        raise ValueError("radius must be 1 or 2: overfull buckets have an exact way only for these")
     parts = [(i, p) for i, p in enumerate(plan(fps, ["fp"], radius)[0]) if p.threshold >= 0]
     probes = [F.struct(F.lit(i).alias("k"), F.lit(m).cast("long").alias("m")) for i, p in parts for m in ball(len(p.bits), p.threshold)]
     value = F.coalesce(*[F.when(F.col("x.k") == i, part_value(F.col("fp"), p.bits)) for i, p in parts])
@@ -240,9 +252,7 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     else:
         cold = rows.join(hot, ["k", "v"], "left_anti")
         hot_fps = rows.join(hot, ["k", "v"], "left_semi").select("fp").distinct()
-        more = _hot_links(hot_fps)
-        if radius == 1:
-            raise ValueError("a bucket overflows at radius 1; use radius 2")
+        more = _hot_links(hot_fps, radius)
     cold = cold.repartition(partitions(fps), "k", "v").sortWithinPartitions("k", "v")
     edges = map_arrow(cold, _bucket_links(radius), "a long, b long")
     return edges if more is None else edges.union(more)
@@ -293,6 +303,8 @@ ROWS = 4
 MET = 0.999
 #: Pairs whose minima tell a similarity this many standard errors below the wanted one are not compared exactly.
 ERRORS = 4
+#: Keys of rows up to this many, of some 50 bytes each, are broadcast; more are joined by a shuffle, with the same result.
+SHIPPED_ROWS = 500_000
 #: Nodes in a slice of a bucket, and shingles in a slice of a group; a task compares two slices.
 TILE, SLICE = 1024, 1 << 20
 
@@ -420,7 +432,7 @@ def _exact(similarity: float):
 
 
 def text_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, key, class) of every row: the key is that of its text (`text_key`), rows of one class are connected by links.
+    """(id, k1, k2, class) of every row: the keys are those of its id and text (`row_keys`), rows of one class are connected by links.
 
     Two texts are linked if their sets of k-word shingles (64-bit hashes of them) have this Jaccard similarity or more.
     Equal sets are one node; wordless and null texts are one.  Candidates are the pairs whose SimHash fingerprints, of the sets, `links`
@@ -432,7 +444,8 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k:
     compared with itself and with one of them, which joins a group of copies; then what isn't of its largest class is
     compared with all of it.  So no pair of two classes is left out, and a group of copies takes time in proportion to it.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_key(F.col(text)).alias("key"), F.col(text).alias("text"))
+    k1, k2 = row_keys(F.col(id_col), F.col(text))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), k1.alias("k1"), k2.alias("k2"), F.col(text).alias("text"))
     n_bands = bands(similarity)
 
     def describe(batches):
@@ -444,16 +457,17 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k:
             ends = np.cumsum(sizes)
             digests = [xxhash.xxh3_128_digest(sets[e - n : e].tobytes()) for e, n in zip(ends, sizes, strict=True)]
             columns = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(majority(sets, sizes).view(np.int64)), pa.array(list(keys), pa.list_(pa.int64())), pa.array([r.tobytes() for r in sketch], pa.binary())]
-            yield pa.RecordBatch.from_arrays([x["id"], x["key"], *columns], ["id", "key", "digest", "n", "fp", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([x["id"], x["k1"], x["k2"], *columns], ["id", "k1", "k2", "digest", "n", "fp", "keys", "sketch"])
 
-    own = cut(map_arrow(rows, describe, "id long, key string, digest binary, n long, fp long, keys array<long>, sketch binary"))
-    distinct = own.groupBy("digest").agg(*[F.first(c).alias(c) for c in ("n", "fp", "keys", "sketch")], F.min(F.struct("id", "key")).alias("of"))
+    own = cut(map_arrow(rows, describe, "id long, k1 long, k2 long, digest binary, n long, fp long, keys array<long>, sketch binary"))
+    distinct = own.groupBy("digest").agg(*[F.first(c).alias(c) for c in ("n", "fp", "keys", "sketch")], F.min(F.struct("k1", "k2")).alias("of"))
     distinct = cut(distinct.withColumn("node", F.monotonically_increasing_id()))
     blocks = _candidates(distinct.where("n > 0"), n_bands, similarity)
 
-    members = cut(distinct.join(blocks, distinct["node"] == blocks["id"]).select("node", F.col("component").alias("block"), "n", "of.id", "of.key"))
-    of_texts = members.select("node", "block", F.col("id").alias("_id"), F.col("key").alias("_key"))
-    whole = rows.join(of_texts, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).groupBy("node").agg(*[F.first(c).alias(c) for c in ("block", "text")])
+    members = cut(distinct.join(blocks, distinct["node"] == blocks["id"]).select("node", F.col("component").alias("block"), "n", "of.k1", "of.k2"))
+    of_texts = members.select("node", "block", "k1", "k2")
+    # One row of each node, found by its keys; repeated ones are dropped before anything is shuffled for that.
+    whole = rows.select("k1", "k2", "text").join(shipped(of_texts), ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("node", "block", "text")
 
     def sets_of(batches):
         for x in batches:
@@ -477,7 +491,7 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k:
         if not rest.isEmpty():
             found = _joined(found, verified(sets.join(rest.select("node", "tile"), "node")))
     classes = distinct.join(found, distinct["node"] == found["id"], "left").select("digest", F.coalesce("component", "node").alias("class"))
-    return own.select("id", "key", "digest").join(classes, "digest").select("id", "key", "class")
+    return own.select("id", "k1", "k2", "digest").join(classes, "digest").select("id", "k1", "k2", "class")
 
 
 def _candidates(nodes: DataFrame, n_bands: int, similarity: float) -> DataFrame:
@@ -536,9 +550,35 @@ def _joined(found: DataFrame, more: DataFrame) -> DataFrame:
     return components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(more.select(F.col(a).alias("a"), F.col(b).alias("b"))))
 
 
-def text_key(text):
-    """What tells a text from others of the same id; a null text is an empty one."""
-    return F.md5(F.coalesce(text, F.lit("")))
+def row_keys(id_: Column, text: Column) -> tuple[Column, Column]:
+    """Two 64-bit hashes that tell rows of other ids or texts apart; a null text is an empty one."""
+    row = [F.isnull(id_), id_, F.coalesce(text, F.lit(""))]
+    return F.xxhash64(F.lit(1), *row), F.xxhash64(F.lit(2), *row)
+
+
+def shipped(keys: DataFrame) -> DataFrame:
+    """Narrow rows, broadcast where there are SHIPPED_ROWS of them at most, else left to a join by shuffle."""
+    return F.broadcast(keys) if keys.count() <= SHIPPED_ROWS else keys
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs that stay if one of each class of `text_classes` does: that of the smallest id, and of the rows without an id one too.
+
+    Rows of one id and text are one document; documents of one id but other texts are not.  Whole rows are shuffled only where
+    more than SHIPPED_ROWS of them go or are repeated.
+    """
+    classes = text_classes(docs, id_col, text, k, similarity)
+    each = cut(classes.groupBy("k1", "k2", "class").agg(F.first("id").alias("id"), F.count("*").alias("copies")).withColumn("none", F.isnull("id")))
+    best = cut(each.groupBy("class", "none").agg(F.min(F.struct("id", "k1", "k2")).alias("best")))
+    judged = each.join(best, ["class", "none"]).select("k1", "k2", "copies", ((F.col("best.k1") == F.col("k1")) & (F.col("best.k2") == F.col("k2"))).alias("stays"))
+    special = cut(judged.where("not stays or copies > 1").select("k1", "k2", "stays"))
+    k1, k2 = row_keys(F.col(quoted(id_col)), F.col(quoted(text)))
+    rows, back, _ = masked(docs, k1=k1, k2=k2)
+    out = rows.join(shipped(special.select("k1", "k2")), ["k1", "k2"], "left_anti").select(*back)
+    repeated = special.where("stays").select("k1", "k2")
+    if repeated.isEmpty():
+        return out
+    return out.unionAll(rows.join(shipped(repeated), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select(*back))
 
 
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:

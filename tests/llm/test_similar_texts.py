@@ -84,3 +84,51 @@ def test_exact_links():
     assert all(like[i // 7, j // 7] >= 0.8 for i, j in zip(a, b, strict=True))
     p, q = np.nonzero(like >= 0.8)
     assert [z.tolist() for z in forest(a, b)] == [z.tolist() for z in forest(nodes[p], nodes[q])]
+
+
+def test_hot_groups_against_brute_force(spark, monkeypatch):
+    """Large groups of near copies, some of them linked to the rest by one text alone, in small slices."""
+    monkeypatch.setattr(S, "BUCKET", 8)
+    monkeypatch.setattr(S, "TILE", 6)
+    monkeypatch.setattr(S, "SLICE", 1200)
+    rng = np.random.default_rng(11)
+    base = [f"v{x}" for x in rng.integers(0, 50_000, 200)]
+    texts = []
+    for i in range(70):  # near copies that drift away from the first: neighbours are links, ends are not
+        own = list(base)
+        for at in rng.integers(0, 200, 1):
+            own[at] = f"n{rng.integers(0, 50_000)}"
+        base = own if i % 3 == 0 else base
+        texts.append(" ".join(own))
+    texts += [" ".join(f"v{x}" for x in rng.integers(0, 50_000, 60)) for _ in range(20)] + texts[:5]
+    own = {r["id"]: r["class"] for r in S.text_classes(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    p, q = zip(*[(i, j) for i in range(len(texts)) for j in range(i + 1) if jaccard(texts[i], texts[j]) >= 0.8], strict=True)
+    child, root = forest(np.array(p), np.array(q))
+    want = np.arange(len(texts))
+    want[child] = root
+    same = lambda of: {tuple(sorted(i for i in range(len(texts)) if of[i] == c)) for c in {of[i] for i in range(len(texts))}}
+    assert same(own) == same(want) and max(map(len, same(want))) > 60
+
+
+@pytest.mark.parametrize("shipped", [500_000, -1])
+def test_rows_kept_are_whole_and_once(spark, monkeypatch, shipped):
+    monkeypatch.setattr(S, "SHIPPED_ROWS", shipped)
+    a, b = pairs([10], 12)
+    (x,) = pairs([250], 13)[:1]
+    rows = [(1, a, "k1"), (2, b, "y"), (5, x, "z"), (5, x, "z"), (5, x, "z"), (1, a, "k1"), (None, None, None), (7, "", "q"), (8, "", "r")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k1 string")
+    out = sorted(((r["doc_id"], r["text"], r["k1"]) for r in S.one_of_each(df).collect()), key=str)
+    assert out == sorted([(1, a, "k1"), (5, x, "z"), (None, None, None), (7, "", "q")], key=str)
+
+
+def test_one_bit_in_overfull_buckets(spark, monkeypatch):
+    monkeypatch.setattr(S, "BUCKET", 3)
+    rng = np.random.default_rng(14)
+    base = rng.integers(-(1 << 62), 1 << 62, 6)
+    fps = np.unique(np.concatenate([base, *[base ^ (1 << int(k)) for k in rng.integers(0, 62, 12)], *[base ^ (1 << int(k)) ^ (1 << int(m)) for k, m in rng.integers(0, 62, (12, 2))]]))
+    df = spark.createDataFrame([(int(f),) for f in fps], "fp long")
+    got = {r["id"]: r["component"] for r in S.components(S.links(df, 1)).collect()}
+    far = np.bitwise_count((fps[:, None] ^ fps[None, :]).view(np.uint64))
+    child, root = forest(*(fps[z] for z in np.nonzero(far <= 1)))
+    want = dict(zip(child.tolist(), root.tolist(), strict=True))
+    assert got == want | {r: r for r in set(want.values())}
