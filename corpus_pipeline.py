@@ -32,12 +32,7 @@ def stage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of the documents without an id one of each group stays too, as they can't be told to be those with one.
     """
-    classes = simhash.text_classes(docs, k=SHINGLE, similarity=SIMILARITY)
-    kept = classes.groupBy("class", F.isnull("id")).agg(F.min(F.struct("id", "key")).alias("of")).select("of.*")
-    kept = cut(kept.withColumnsRenamed({"id": "__id", "key": "__of"}))
-    keyed = docs.withColumn("__key", simhash.text_key(F.col("text")))
-    first = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__of")), "left_semi")
-    return first.dropDuplicates(["doc_id", "__key"]).select(*docs.columns)
+    return simhash.one_of_each(docs, k=SHINGLE, similarity=SIMILARITY)
 
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
