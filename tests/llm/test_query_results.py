@@ -1,0 +1,203 @@
+"""Every query of the part, over whole tables, against plain versions of what it must give."""
+
+import collections
+import hashlib
+import html.parser
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+
+import corpus_pipeline as C
+from strandmap.llm import queries as Q
+from tests.llm.test_models import brute_links
+from tests.llm.test_packing_law import check_law as check_packing
+from tests.llm.test_sharding_law import check_law as check_sharding
+from tests.llm.test_similar_texts import jaccard
+
+SF, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+
+
+def rooted(ids, links):
+    """Smallest id reachable from each."""
+    of = {i: i for i in ids}
+
+    def root(i):
+        while of[i] != i:
+            i = of[i]
+        return i
+
+    for a, b in links:
+        x, y = root(a), root(b)
+        of[max(x, y)] = min(x, y)
+    return {i: root(i) for i in ids}
+
+
+def plain_fingerprint(text):
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = WORD.findall(low)
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(len(words) - 2, 1))]
+    hashes = np.array([xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles], np.uint64)
+    return sum(1 << b for b in range(64) if 2 * int(((hashes >> np.uint64(b)) & np.uint64(1)).sum()) > len(hashes))
+
+
+def test_op1(spark, documents):
+    got = {r["doc_id"]: r for r in Q.op1_simhash_dedup(spark, SF).collect()}
+    fp = {i: plain_fingerprint(r["text"]) for i, r in documents.items()}
+    assert {i: r["fingerprint"] for i, r in got.items()} == {i: f"{f:016x}" for i, f in fp.items()}
+    ids = sorted(fp)
+    v = np.array([fp[i] for i in ids], np.uint64)
+    a, b = np.nonzero(np.bitwise_count(v[:, None] ^ v[None, :]) <= 2)
+    assert {i: r["component_id"] for i, r in got.items()} == rooted(ids, [(ids[x], ids[y]) for x, y in zip(a, b, strict=True) if x < y])
+
+
+def test_op3(spark, documents):
+    out = Q.op3_sharding(spark, SF).toPandas()
+    assert set(out.law) == {"bytes"} and out.grown_shard.isna().all() and out.shard.between(0, 39).all()
+    assert all(zlib.crc32((documents[i]["text"] or "").encode()) == c for i, c in zip(out.doc_id, out.text_crc32, strict=True))
+    out["text"] = [documents[i]["text"] for i in out.doc_id]
+    check_sharding([(i, r["text"]) for i, r in documents.items()], out, 40)
+    nearby = out[out.text.notna()].groupby("text").shard.agg(["min", "max"])
+    assert ((nearby["max"] - nearby["min"]) <= 1).mean() > 0.99  # equal texts are neighbours
+
+
+def test_op4(spark, documents):
+    got = {r["doc_id"]: r for r in Q.op4_quality_classifier(spark, SF).collect()}
+    assert got.keys() == documents.keys()
+    for i, r in got.items():
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3)
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    held = [(labels[i], r["predicted"]) for i, r in got.items() if r["held_out"] and labels.get(i) is not None]
+    assert len(held) > 50 and np.mean([a == b for a, b in held]) > 0.95
+
+
+def test_op5(spark, documents):
+    rows = [(i, len(WORD.findall(r["text"] or ""))) for i, r in documents.items()]
+    out = Q.op5_packing(spark, SF).withColumnsRenamed({"doc_id": "id", "n_words": "length"}).collect()
+    check_packing(rows, out, 8192, 16)
+
+
+def test_op6(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json"))
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    got, start = {r["doc_id"]: r for r in Q.op6_token_files(spark, SMALL).collect()}, 0
+    for i in sorted(texts):
+        ids = np.array([*plain.encode(texts[i] or "", add_special_tokens=False).ids, 0], "<u4")
+        assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    assert len(got) == len(texts)
+
+
+def test_op7(spark, documents):
+    got = {r["doc_id"]: r for r in Q.op7_media_columns(spark, SF).collect()}
+    forms = collections.defaultdict(set)
+    for i, d in documents.items():
+        raw = (d["text"] or "").encode()
+        payload = raw.ljust(max(-(-len(raw) // 192), 1) * 192, b" ")
+        r = got[i]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        units = len(payload) // 192
+        assert len(r["keyframes"]) == -(-units // 32) and sum(k["bytes"] for k in r["keyframes"]) == 192 * len(r["keyframes"])
+        assert r["media_bytes"] > len(payload) and r["feature"].split("|")[:3] == ["raw", "8000", str(units)]
+        forms[d["text"]].add((r["media_sha256"], r["feature"]))
+    assert all(len(x) == 1 for x in forms.values()) and len(got) == len(documents)
+
+
+def test_op8(spark):
+    got = {r["vec_id"]: r for r in Q.op8_embedding_dedup(spark, SF).collect()}
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "label", "embedding").collect()]
+    want = brute_links(rows, 0.98)
+    assert {i: (r["n_links"], r["component_id"]) for i, r in got.items()} == want and all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
+
+
+def test_op9(spark, documents):
+    got = {r["doc_id"]: r for r in Q.op9_source_mixing(spark, SF).collect()}
+    size = {i: len(WORD.findall(r["text"] or "")) for i, r in documents.items()}
+    of = collections.Counter()
+    for i, r in documents.items():
+        of[r["source"]] += size[i]
+    order = sorted(s for s in of if s is not None) + [None] * (None in of)
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
+    goal: dict = {}
+    while len(goal) < len(of):  # one capped source at a time
+        left, rest = 1.5 * sum(of.values()) - sum(goal.values()), [s for s in of if s not in goal]
+        part = {s: left * weight[s] / sum(weight[x] for x in rest) for s in rest}
+        over = [s for s in rest if part[s] > 2 * of[s]]
+        goal |= {over[0]: 2.0 * of[over[0]]} if over else part
+    taken = collections.Counter()
+    for i, r in got.items():
+        s = documents[i]["source"]
+        assert (r["size"], r["source_size"]) == (size[i], of[s]) and r["target"] == pytest.approx(goal[s]) and 0 <= r["taken"] <= 2 * size[i]
+        taken[s] += r["taken"]
+    for s in of:
+        assert abs(taken[s] - goal[s]) <= max(size[i] for i, r in documents.items() if r["source"] == s)
+    assert got.keys() == documents.keys() and {i: r["taken"] for i, r in got.items()} == {r["doc_id"]: r["taken"] for r in Q.op9_source_mixing(spark, SF).collect()}
+
+
+class Article(html.parser.HTMLParser):
+    """Blocks of the article element, by the parser of the standard library."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.blocks, self.silent = 0, [""], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        self.silent += tag in ("script", "style")
+        if tag == "br":
+            self.blocks[-1] += " "
+        elif tag in ("article", "p", "h1", "h2", "h3", "ul", "ol", "li", "div", "table", "tr", "td", "th", "blockquote", "pre", "section"):
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        self.depth -= tag == "article"
+        self.silent -= tag in ("script", "style")
+        if tag not in ("b", "i", "a", "em", "strong", "span", "br"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.depth and not self.silent:
+            self.blocks[-1] += data
+
+
+def test_op10(spark):
+    pages = {r["page_id"]: r for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    got = {r["page_id"]: r for r in Q.op10_html_extraction(spark, SF).collect()}
+    assert got.keys() == pages.keys()
+    for i, r in pages.items():
+        p = Article()
+        p.feed(r["html"] or "")
+        p.close()
+        text = "\n\n".join(b for b in (" ".join(x.split()) for x in p.blocks) if b)
+        assert (got[i]["text"], got[i]["n_chars"], got[i]["url"]) == (text, len(text), r["url"])
+
+
+def test_pipeline_stages_against_plain_versions(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    score = {r["doc_id"]: r["score"] for r in Q.op4_quality_classifier(spark, SMALL).collect()}
+    good = spark.createDataFrame(C.stage_quality(spark, docs, SMALL).collect(), docs.schema)
+    assert sorted(r["doc_id"] for r in good.collect()) == sorted(i for i, s in score.items() if s >= 0.3)
+    rows = {r["doc_id"]: r["text"] or "" for r in good.collect()}
+    ids = sorted(rows)
+    like = [(i, j) for x, i in enumerate(ids) for j in ids[:x] if rows[i] == rows[j] or (rows[i].split() and rows[j].split() and jaccard(rows[i], rows[j]) >= 0.8) or not (rows[i].split() or rows[j].split())]
+    kept = spark.createDataFrame(C.stage_dedup(spark, good, SMALL).collect(), docs.schema)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(rooted(ids, like).values()))
+    mixed = spark.createDataFrame(C.stage_mixing(spark, kept, SMALL).collect(), docs.schema)
+    taken = collections.Counter(r["doc_id"] for r in mixed.collect())
+    words = {i: len(WORD.findall(rows[i])) for i in ids}
+    total = sum(words[r["doc_id"]] for r in kept.collect())
+    assert max(taken.values()) <= 2 and set(taken) <= {r["doc_id"] for r in kept.collect()} and abs(sum(words[i] * n for i, n in taken.items()) - 1.5 * total) <= 4 * max(words.values())
+    packed = C.stage_packing(spark, mixed, SMALL).withColumnsRenamed({"doc_id": "id", "n_words": "length"}).collect()
+    check_packing([(i, words[i]) for i in taken.elements()], packed, C.BUDGET, C.BUCKETS)
