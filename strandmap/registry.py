@@ -30,6 +30,8 @@ class Runtime:
 class Function:
     """A function of a module: parameter names and types, a result type (or a rule that gives it), and what it does.
 
+    Types may hold variables (`types.Var`), which stand for one type each at every call.
+
     ``call(runtime, types, *values)`` gets columns and frames and gives one of them, or None.
     """
 

@@ -57,6 +57,27 @@ class Rows:
         return "{" + ", ".join(f"{n}: {t}" for n, t in self.fields) + "}"
 
 
+@dataclass(frozen=True)
+class Var:
+    """A type that is still to be found."""
+
+    name: str
+
+    def __str__(self) -> str:
+        return f"'{self.name}"
+
+
+@dataclass(frozen=True)
+class Poly:
+    """A type for all values of its variables."""
+
+    variables: frozenset[Var]
+    kind: object
+
+    def __str__(self) -> str:
+        return str(self.kind)
+
+
 def strip(t: object) -> object:
     return strip(t.inner) if isinstance(t, Optional) else t
 
