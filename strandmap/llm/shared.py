@@ -21,7 +21,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where it is unset (a single machine, tests) a temporary folder is made and set as the checkpoint folder.
+    Where it is unset a temporary folder is made and set as the checkpoint folder on a single machine (tests); on a cluster that is an error.
     """
     place = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -29,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
         current = sc._jsc.sc().getCheckpointDir()
         place = current.get() if current.isDefined() else None
     if not place:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="strandmap-")
         spark.conf.set("spark.checkpoint.dir", place) if spark.conf.isModifiable("spark.checkpoint.dir") else None
     if not sc._jsc.sc().getCheckpointDir().isDefined():
