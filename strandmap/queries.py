@@ -48,8 +48,11 @@ def quads_sql(*parts: tuple[str, str, str, str, str, str], graph: str = "CAST(NU
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new place in the folder that driver and executors share; a temporary one where none is set."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new place in the folder that driver and executors share; on a single machine a temporary one where none is set."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(shared or 'file://' + tempfile.mkdtemp()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 # --- sources ----------------------------------------------------------------------------------------------------
