@@ -6,8 +6,6 @@ structs, which is exploded.  The plan has one scan of each source and one Genera
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,40 +35,38 @@ def _types(frame: Frame) -> list[list[T.DataType]]:
     return [[next(kinds) for _ in out.values] for out in frame.outputs]
 
 
-def elements(out: Output, k: int, strict: bool, types: list[T.DataType]) -> list[tuple[dict[str, tuple[Column, Callable | None]], Column]]:
-    """For each quad that output ``k`` makes of a row: the columns it needs, and over those the quad, null where there is none.
+def elements(out: Output, k: int, types: list[T.DataType]) -> list[tuple[dict[str, Column], Column]]:
+    """For each quad that output ``k`` makes of a row: the columns it needs, and over those a struct of what the quad is made of.
 
-    Terms are columns of their own, so that subjects, which all quads of an output share, are made and checked once;
-    a column that is a function of another one (name, function) is made after that, so that it is computed once too.
+    A struct has the value as text, and the kind of the object where the field's type tells it; the others are told
+    after the structs have been exploded, by one expression for all fields.
     """
     if not out.args:
         raise EvaluationFault(f"records of {out.record.name} have no subject: its constructor has no argument")
-    null = F.lit(None).cast("string")
-    shared = {f"_s{k}": (subject(out), terms.resource)}
+    shared = {f"_s{k}": subject(out)}
     if len(out.args) > 1:
-        shared[f"_g{k}"] = (text(out.args[1]), terms.resource)
-    s, g = F.col(f"_s{k}"), F.col(f"_g{k}") if len(out.args) > 1 else null
+        shared[f"_g{k}"] = text(out.args[1])
+    graph = F.col(f"_g{k}") if len(out.args) > 1 else None
+
+    null = F.lit(None).cast("string")
+    ends = F.col(f"_s{k}").alias("subject"), (null if graph is None else graph).alias("graph")
+    none = {n: null.alias(n) for n in ("kind", "datatype", "lang")}
 
-    def quad(p: str, value: Column, kind: Column, datatype: Column, lang: Column = null) -> Column:
-        whole = F.struct(s.alias("subject"), F.lit(p).alias("predicate"), value.alias("object"), kind.alias("object_kind"), datatype.alias("datatype"), lang.alias("lang"), g.alias("graph"))
-        return F.when(s.isNotNull() & value.isNotNull(), whole)
+    def part(p: str, value: Column, **known: str | None) -> Column:
+        fixed = [none[n] if known.get(n) is None else F.lit(known[n]).alias(n) for n in none]
+        return F.struct(*ends, F.lit(p).alias("predicate"), value.alias("value"), *fixed)
 
     found = []
     if out.record.rdf_type:
-        found.append((shared, quad(terms.RDF_TYPE, F.lit(terms.predicate(out.record.rdf_type)), F.lit("iri"), null)))
+        found.append((shared, part(terms.RDF_TYPE, F.lit(terms.predicate(out.record.rdf_type)), kind="iri")))
     for j, (name, value) in enumerate(out.values):
         f = out.record.field(name)
         if f.uri is None:
             continue
         own = f"_v{k}_{j}"
-        lexical = to_declared(value, f.type, types[j]).cast("string")
-        xsd = DATATYPES.get(strip(f.type))
-        if xsd:  # numbers and booleans never look like IRIs
-            found.append((shared | {own: (lexical, None)}, quad(terms.predicate(f.uri), F.col(own), F.lit("literal"), F.lit(xsd))))
-        else:
-            kind = F.col(f"{own}.object_kind")
-            lang = F.when(kind == "literal", F.lit(terms.language(f.lang))) if f.lang else null
-            found.append((shared | {own: (lexical, lambda c: terms.object_term(c, strict))}, quad(terms.predicate(f.uri), F.col(f"{own}.object"), kind, null, lang)))
+        columns = shared | {own: to_declared(value, f.type, types[j]).cast("string")}
+        xsd = DATATYPES.get(strip(f.type))  # numbers and booleans never look like IRIs
+        found.append((columns, part(terms.predicate(f.uri), F.col(own), kind="literal" if xsd else None, datatype=xsd, lang=terms.language(f.lang) if f.lang and not xsd else None)))
     return found
 
 
@@ -82,15 +78,20 @@ def quads(frame: Frame, distinct: bool = False, strict: bool = False) -> DataFra
     if not frame.outputs:
         raise EvaluationFault("RDF output needs rows made by a record constructor")
     types = _types(frame)
-    parts = [e for k, out in enumerate(frame.outputs) for e in elements(out, k, strict, types[k])]
+    parts = [e for k, out in enumerate(frame.outputs) for e in elements(out, k, types[k])]
     if not parts:
         return frame.source.sparkSession.createDataFrame([], SCHEMA)
     needed = {n: made for columns, _ in parts for n, made in columns.items()}
-    rows = frame.source.select(*[c.alias(n) for n, (c, _) in needed.items()])
-    rows = rows.select(*[(then(F.col(n)) if then else F.col(n)).alias(n) for n, (_, then) in needed.items()])
+    rows = frame.source.select(*[c.alias(n) for n, c in needed.items()])
+    # Subjects and graphs, which all quads of an output share, are checked once for each row.
+    rows = rows.select(*[(F.col(n) if n[1] == "v" else terms.resource(F.col(n))).alias(n) for n in needed])
     arrays = [F.array(*[q for _, q in parts[lo : lo + WIDEST]]) for lo in range(0, len(parts), WIDEST)]
     whole = arrays[0] if len(arrays) == 1 else F.flatten(F.array(*arrays))
-    out = rows.select(F.explode(whole).alias("q")).where("q IS NOT NULL").select("q.*")
+    made = rows.select(F.explode(whole).alias("q")).select("q.*").where("subject IS NOT NULL AND value IS NOT NULL")
+    told = F.when(F.col("kind").isNotNull(), F.struct(F.col("value").alias("object"), F.col("kind").alias("object_kind"))).otherwise(terms.object_term(F.col("value"), strict))
+    made = made.withColumn("term", told)
+    kind = F.col("term.object_kind")
+    out = made.select("subject", "predicate", "term.object", kind.alias("object_kind"), "datatype", F.when(kind == "literal", F.col("lang")).alias("lang"), "graph")
     return out.dropDuplicates() if distinct else out
 
 
