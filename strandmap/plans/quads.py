@@ -35,21 +35,21 @@ def _types(frame: Frame) -> list[list[T.DataType]]:
     return [[next(kinds) for _ in out.values] for out in frame.outputs]
 
 
-def elements(out: Output, k: int, types: list[T.DataType]) -> list[tuple[dict[str, Column], Column]]:
-    """For each quad that output ``k`` makes of a row: the columns it needs, and over those a struct of what the quad is made of.
+def elements(out: Output, of: str, types: list[T.DataType]) -> tuple[dict[str, Column], list[Column]]:
+    """What an output makes of a row: columns that its quads share (names begin with ``of``), and a struct for each quad.
 
     A struct has the value as text, and the kind of the object where the field's type tells it; the others are told
-    after the structs have been exploded, by one expression for all fields.
+    after the structs have been exploded, by one expression for all fields.  Values are no columns of their own: hundreds of names
+    for one column would be compared with each other by the optimizer.
     """
     if not out.args:
         raise EvaluationFault(f"records of {out.record.name} have no subject: its constructor has no argument")
-    shared = {f"_s{k}": subject(out)}
+    shared = {f"{of}s": terms.resource(subject(out))}
+    graph = None
     if len(out.args) > 1:
-        shared[f"_g{k}"] = text(out.args[1])
-    graph = F.col(f"_g{k}") if len(out.args) > 1 else None
-
+        shared[f"{of}g"], graph = terms.resource(text(out.args[1])), F.col(f"{of}g")
     null = F.lit(None).cast("string")
-    ends = F.col(f"_s{k}").alias("subject"), (null if graph is None else graph).alias("graph")
+    ends = F.col(f"{of}s").alias("subject"), (null if graph is None else graph).alias("graph")
     none = {n: null.alias(n) for n in ("kind", "datatype", "lang")}
 
     def part(p: str, value: Column, **known: str | None) -> Column:
@@ -58,16 +58,17 @@ def elements(out: Output, k: int, types: list[T.DataType]) -> list[tuple[dict[st
 
     found = []
     if out.record.rdf_type:
-        found.append((shared, part(terms.RDF_TYPE, F.lit(terms.predicate(out.record.rdf_type)), kind="iri")))
+        found.append(part(terms.RDF_TYPE, F.lit(terms.predicate(out.record.rdf_type)), kind="iri"))
     for j, (name, value) in enumerate(out.values):
         f = out.record.field(name)
         if f.uri is None:
             continue
-        own = f"_v{k}_{j}"
-        columns = shared | {own: to_declared(value, f.type, types[j]).cast("string")}
-        xsd = DATATYPES.get(strip(f.type))  # numbers and booleans never look like IRIs
-        found.append((columns, part(terms.predicate(f.uri), F.col(own), kind="literal" if xsd else None, datatype=xsd, lang=terms.language(f.lang) if f.lang and not xsd else None)))
-    return found
+        lexical, xsd = to_declared(value, f.type, types[j]).cast("string"), DATATYPES.get(strip(f.type))
+        if xsd:  # numbers and booleans never look like IRIs
+            found.append(part(terms.predicate(f.uri), lexical, kind="literal", datatype=xsd))
+        else:
+            found.append(part(terms.predicate(f.uri), lexical, lang=terms.language(f.lang) if f.lang else None))
+    return shared, found
 
 
 def quads(frame: Frame, distinct: bool = False, strict: bool = False) -> DataFrame:
@@ -77,15 +78,16 @@ def quads(frame: Frame, distinct: bool = False, strict: bool = False) -> DataFra
     """
     if not frame.outputs:
         raise EvaluationFault("RDF output needs rows made by a record constructor")
-    types = _types(frame)
-    parts = [e for k, out in enumerate(frame.outputs) for e in elements(out, k, types[k])]
+    source, types, prefix = frame.source, _types(frame), "_"
+    while any(c.startswith(prefix) for c in source.columns):
+        prefix += "_"
+    made = [elements(out, f"{prefix}{k}", types[k]) for k, out in enumerate(frame.outputs)]
+    parts = [q for _, found in made for q in found]
     if not parts:
-        return frame.source.sparkSession.createDataFrame([], SCHEMA)
-    needed = {n: made for columns, _ in parts for n, made in columns.items()}
-    rows = frame.source.select(*[c.alias(n) for n, c in needed.items()])
-    # Subjects and graphs, which all quads of an output share, are checked once for each row.
-    rows = rows.select(*[(F.col(n) if n[1] == "v" else terms.resource(F.col(n))).alias(n) for n in needed])
-    arrays = [F.array(*[q for _, q in parts[lo : lo + WIDEST]]) for lo in range(0, len(parts), WIDEST)]
+        return source.sparkSession.createDataFrame([], SCHEMA)
+    # Subjects and graphs, which all quads of an output share, are made and checked once for each row.
+    rows = source.select("*", *[c.alias(n) for shared, _ in made for n, c in shared.items()])
+    arrays = [F.array(*parts[lo : lo + WIDEST]) for lo in range(0, len(parts), WIDEST)]
     whole = arrays[0] if len(arrays) == 1 else F.flatten(F.array(*arrays))
     made = rows.select(F.explode(whole).alias("q")).select("q.*").where("subject IS NOT NULL AND value IS NOT NULL")
     told = F.when(F.col("kind").isNotNull(), F.struct(F.col("value").alias("object"), F.col("kind").alias("object_kind"))).otherwise(terms.object_term(F.col("value"), strict))
