@@ -23,8 +23,8 @@ from strandmap.llm.textscan import Words, slices, text_bytes, xxh64
 SHAPES, TERMS = 256, 1024
 #: Latent dimensions, neighbours that vote, and the bound on labelled rows (and so on the broadcast: 4 bytes by LATENT each).
 LATENT, NEIGHBOURS, SAMPLE = 64, 24, 8000
-#: Documents compared at a time.
-BLOCK = 512
+#: Documents compared at a time, and those whose term counts are held at a time (8 bytes by TERMS each).
+BLOCK, HELD = 512, 2048
 
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[65:91], _CLASS[97:123], _CLASS[48:58], _CLASS[128:] = 65, 97, 48, 97
@@ -57,8 +57,10 @@ def counts(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _blocks(texts):
     values, offsets = text_bytes(texts)
-    for lo, hi in slices(offsets, 1 << 20):
-        yield lo, hi, counts(values[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+    for first, last in slices(offsets, 1 << 20):
+        for lo in range(first, last, HELD):
+            hi = min(lo + HELD, last)
+            yield lo, hi, counts(values[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
 
 
 def weigh(c: np.ndarray, idf: np.ndarray) -> np.ndarray:

@@ -64,3 +64,14 @@ def quality_seed():
 
     got = xxh64(np.frombuffer(b"river" + b" " * 16, np.uint8), np.array([0]), np.array([5]))[0]
     return next(s for s in range(100) if xxhash.xxh64_intdigest(b"river", s) == int(got))
+
+
+def test_short_texts_are_counted_in_bounded_blocks(monkeypatch):
+    import pyarrow as pa
+
+    texts = pa.array([f"w{i} x" if i % 7 else None for i in range(5000)])
+    whole = {lo: c for lo, _, c in quality._blocks(texts)}
+    assert max(len(c) for c in whole.values()) <= quality.HELD and sum(map(len, whole.values())) == 5000
+    monkeypatch.setattr(quality, "HELD", 1 << 30)
+    (one,) = [c for _, _, c in quality._blocks(texts)]
+    assert (np.concatenate([whole[lo] for lo in sorted(whole)]) == one).all()
