@@ -396,7 +396,9 @@ def features(stored: bytes | None) -> tuple | None:
     try:
         t = parse(stored)[0]
         payload, keys = samples(stored, t), key_ranges(t)
-        feature = f"{t.codec}|{t.timescale}|{t.count()}|{t.ticks() / t.timescale:.6f}|{len(keys)}|{keys[0][0]}+{keys[0][1]}|{keys[-1][0]}+{keys[-1][1]}"
+        if not keys:
+            return None
+        feature = f"{t.codec}|{t.timescale}|{t.count()}|{t.ticks() / t.timescale:.6f}|{len(keys)}|{','.join(f'{a}+{n}' for a, n in keys)}"
     except (MediaError, struct.error, IndexError, ZeroDivisionError):
         return None
     told = [{"offset": a, "bytes": n} for a, n in keys]
@@ -406,8 +408,8 @@ def features(stored: bytes | None) -> tuple | None:
 def read_back(df: DataFrame, media: str = "media") -> DataFrame:
     """df without the container but with the columns of READ, all from the stored bytes of its first track.
 
-    feature is ``codec|time scale|samples|seconds|key frames|first key frame|last key frame``; ``keyframes`` has the byte
-    range of every key frame.  Null and malformed containers, and those without samples, give nulls.  Existing columns of these names
+    feature is ``codec|time scale|samples|seconds|key frames|ranges``, with the offset and bytes of every key frame; ``keyframes``
+    has these as an array.  Null and malformed containers, and those without samples or key frames, give nulls.  Existing columns of these names
     are replaced, repeated rows stay, an empty table stays empty.
     """
     df = df.drop(*READ.keys() - {media})

@@ -81,7 +81,7 @@ def op6_token_files(spark, sf_dir):
 
 def op7_media_columns(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return media.read_back(media.with_media(docs))
+    return media.read_back(media.with_media(docs)).drop("keyframes")  # the feature names them all
 
 
 def op8_embedding_dedup(spark, sf_dir):

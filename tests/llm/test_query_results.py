@@ -109,7 +109,8 @@ def test_op7(spark, documents):
         r = got[i]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
         units = len(payload) // 192
-        assert len(r["keyframes"]) == -(-units // 32) and sum(k["bytes"] for k in r["keyframes"]) == 192 * len(r["keyframes"])
+        keys = [tuple(map(int, k.split("+"))) for k in r["feature"].split("|")[5].split(",")]
+        assert len(keys) == -(-units // 32) and all(n == 192 for _, n in keys) and all(b - a == 192 * 32 for (a, _), (b, _) in zip(keys, keys[1:], strict=False))
         assert r["media_bytes"] > len(payload) and r["feature"].split("|")[:3] == ["raw", "8000", str(units)]
         forms[d["text"]].add((r["media_sha256"], r["feature"]))
     assert all(len(x) == 1 for x in forms.values()) and len(got) == len(documents)
