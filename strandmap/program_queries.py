@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandmap import functions as fn
+from strandmap.errors import CompileErrors, MappingError
 from strandmap.lang import compile_text
 from strandmap.operators.frame import Frame
 from strandmap.plans import quads as quad_plan
 from strandmap.queries import CUSTOMER, EX, NATION, REGION, TYPE, XSD, _C, _N, _R, quads_sql, query, scratch
 from strandmap.registry import Function
 from strandmap.sinks.output import Outputs
-from strandmap.sources import csv, ifc, shex
+from strandmap.sources import csv, ifc, paths, shex
 from strandmap.stdlib import standard
 from strandmap.streaming import quad_stream
-from strandmap.types import INT, STRING, Constraints, Field, Record
+from strandmap.types import INT, STRING, Field, Record, Rows, Var
 
 # --- RDF files, written and read back ---------------------------------------------------------------------------
 
@@ -265,6 +266,79 @@ def join_of_mapped_rows(table, spark, sf_dir):
     return _program(spark, sf_dir, source).mapped()
 
 
+#: Programs with the codes of all their errors.
+_A = "type A do x: int end let a = A { x = 1 } "
+WRONG = [
+    ("let y = missing", "undefined"), ("type T do n: Missing end", "undefined"), ("let t = String.f(1)", "undefined"), ('let c = nothing!("x")', "undefined"), ("let a = missing let b = other", "undefined undefined"),
+    ("type T do a: int end type T do b: string end", "already-defined"), (_A + "let z = a.other", "field-not-found"), ("type T do n: string end let t = T { bad = 1 }", "field-not-found"),
+    (_A + "let j = a |> join a on x = y", "field-not-found"), (_A + "let j = a |> join a on (x, x) = x", "arity-mismatch"), (_A + "let j = a +> join a on x = x", "syntax"), (_A + "let j = a |> each r -> 3", "evaluation"),
+    (_A + 'let s = "${a}"', "evaluation"), ("type T(id: string) do n: string end let t = T { n = 1 }", "arity-mismatch"), ("let x = String.upper()", "arity-mismatch"), ('let x = String.extract(1, "(a)")', "type-mismatch"),
+    ("let x = 1 let y = x.a", "not-a"), ("let x = 1 let y = x(2)", "not-a"), ("type S = string let s = S { }", "not-a"), ('let c = csv!("none.csv")', "file-not-found"), ('let c = csv!("x.txt")', "invalid-extension"),
+    ('let c = shex!("x.shex", shape: "S")', "provider-kind-mismatch"), ("let c = csv!()", "missing-argument"), ("let c = csv!(1)", "invalid-argument-type"),
+    ("type T do v: int end let t = Own.open() |> each r -> T { v = Own.same(r.x, Own.inner(r.x)) }", "infinite-type"), (_A + "let y = Own.two(a)", "record-size-mismatch"), ('let x = Own.same(1, "a")', "type-mismatch"), ("let n = Own.none() let a = Own.same(n, 1) let b = Own.same(n, true)", ""),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{codes}')" for i, (_, codes) in enumerate(WRONG)) + ") t(id, codes)")
+def program_errors(table, spark, sf_dir):
+    """Every error of a program is kept; types with variables are unified with an occurs check."""
+    a, none = Var("a"), lambda rt, types, *values: None
+    r = standard()
+    r.module("Own", {"same": Function([("x", a), ("y", a)], a, none), "none": Function([], a, none), "open": Function([], Rows((("x", a),)), none), "inner": Function([("x", a)], Rows((("of", a),)), none), "two": Function([("x", Rows((("x", INT), ("y", INT))))], INT, none)})
+    found = []
+    for i, (source, _) in enumerate(WRONG):
+        try:
+            compile_text(source, registry=r, base="/nowhere")
+            codes = []
+        except CompileErrors as e:
+            codes = [x.code for x in e.errors]
+        found.append((i, " ".join(codes)))
+    return spark.createDataFrame(found, "id int, codes string")
+
+
+TYPES_SHAPE = """
+PREFIX ex: <http://example.com/>
+PREFIX xsd: <http://www.w3.org/2001/XMLSchema#>
+ex:All { ex:a xsd:string ; ex:b xsd:integer ? ; ex:c xsd:decimal ; ex:d xsd:double * ; ex:e xsd:float + ; ex:f xsd:boolean ; ex:g xsd:dateTime {2} ; ex:h @ex:Other {0,3} ; ex:i . ; ex:j xsd:long ; a [ex:T] }
+ex:Other { ex:a . }
+"""
+
+
+@query(f"""SELECT * FROM (VALUES ('a', 'string', '{EX}a'), ('b', 'int?', '{EX}b'), ('c', 'float', '{EX}c'), ('d', 'float?', '{EX}d'), ('e', 'float', '{EX}e'), ('f', 'bool', '{EX}f'), ('g', 'string', '{EX}g'),
+  ('h', 'Other?', '{EX}h'), ('i', 'string', '{EX}i'), ('j', 'int', '{EX}j')) t(name, type, predicate)""")
+def shex_types(table, spark, sf_dir):
+    """Types and predicates of a shape's fields: XSD datatypes, cardinalities, references; the type of the node is no field."""
+    record = shex.record(TYPES_SHAPE, "All", "All")
+    return spark.createDataFrame([(f.name, str(f.type), f.uri) for f in record.fields], "name string, type string, predicate string")
+
+
+_CHECKED = [("s3://b/k.csv", "s3a://b/k.csv"), ("gcs://b/k.csv", "gs://b/k.csv"), ("azure://c/k.csv", "abfss://c/k.csv"), ("hdfs://n/k.csv", "hdfs://n/k.csv"), ("ftp://h/k.csv", "invalid-argument-type"), ("s3://b/k.txt", "invalid-extension"), ("none.csv", "file-not-found"), ("s3://b/K.CSV", "s3a://b/K.CSV")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{to}')" for p, to in _CHECKED) + ") t(path, outcome)")
+def path_rules(table, spark, sf_dir):
+    """Paths as they are read: stores by their connector, extensions checked, local files only if they are there."""
+    found = []
+    for path, _ in _CHECKED:
+        try:
+            found.append((path, paths.checked(path, "csv", "/nowhere")))
+        except MappingError as e:
+            found.append((path, e.code))
+    return spark.createDataFrame(found, "path string, outcome string")
+
+
+@query("SELECT n_nationkey AS id, n_name || '|' || n_regionkey AS name FROM nation")
+def keywords_as_fields(table, spark, sf_dir):
+    """Keywords of the language name fields; a record's fields are reached by paths; an alias names a type."""
+    source = """let n = parquet!("{dir}/nation.parquet")
+    type Text = string
+    type K do type: int let: Text join: int end
+    type R do id: int name: string end
+    n |> each r -> K { type = r.n_nationkey, let = r.n_name, join = r.n_regionkey }
+      |> each k -> R { id = k.type, name = "${k.let}|${k.join}" }"""
+    return _program(spark, sf_dir, source).mapped()
+
+
 #: Four tables, joined on one and on two keys, into seven kinds of records in one pass.
 SEVEN = """
 type O = parquet!("{dir}/orders.parquet")
