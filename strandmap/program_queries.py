@@ -13,7 +13,7 @@ from strandmap.plans import quads as quad_plan
 from strandmap.queries import CUSTOMER, EX, NATION, REGION, TYPE, XSD, _C, _N, _R, quads_sql, query, scratch
 from strandmap.registry import Function
 from strandmap.sinks.output import Outputs
-from strandmap.sources import csv, ifc, paths, shex
+from strandmap.sources import csv, ifc, jsonld, paths, shex
 from strandmap.stdlib import standard
 from strandmap.streaming import quad_stream
 from strandmap.types import INT, STRING, Field, Record, Rows, Var
@@ -83,7 +83,7 @@ def _nodes(spark, path: str, frame: Frame, layout: str = "file") -> DataFrame:
     frame.serialize(path, layout=layout)
     value, link = "array<struct<`@value`: string>>", "array<struct<`@id`: string>>"
     schema = f"`@id` string, `@type` array<string>, `{EX}name` {value}, `{EX}segment` {value}, `{EX}nation` {link}"
-    nodes = spark.read.schema(schema).json(path, multiLine=layout == "file").where("`@id` is not null")
+    nodes = jsonld.load(path, schema, spark) if layout == "file" else spark.read.schema(schema).json(path).where("`@id` is not null")
     first = lambda c: F.max(c)
     return nodes.groupBy(F.col("`@id`").alias("id")).agg(
         first(F.col("`@type`")[0]).alias("of_type"), first(F.col(f"`{EX}name`")[0]["@value"]).alias("name"),
