@@ -397,5 +397,8 @@ def _count(sql: str) -> str:
 def program_seven(table, spark, sf_dir):
     """A four-way join to seven record types, told by predicate: how many quads, the lengths of subjects and objects, and the ends of their order."""
     q = _program(spark, sf_dir, SEVEN).to_quads()
-    told = [F.count("*").alias("n"), F.sum(F.length("subject")).alias("subjects"), F.sum(F.length("object")).alias("objects"), F.min("object").alias("least"), F.max("subject").alias("greatest")]
+    # For least and greatest texts alone Spark sorts all quads by predicate before it aggregates them, and spills.  Beside an aggregate
+    # that holds an object (here a list that leaves out nulls, so always empty) it keeps a hash table of the groups, up to 128 of them.
+    none = F.size(F.collect_list(F.lit(None).cast("string")))
+    told = [(F.count("*") + none).alias("n"), F.sum(F.length("subject")).alias("subjects"), F.sum(F.length("object")).alias("objects"), F.min("object").alias("least"), F.max("subject").alias("greatest")]
     return q.groupBy("predicate", "object_kind", "datatype").agg(*told)

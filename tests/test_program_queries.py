@@ -29,3 +29,10 @@ def test_query_equals_its_sql(spark, tables, name):
     rows = sorted(map(repr, map(tuple, got.select(*[f"`{c}`" for c in columns]).collect())))
     quoted = ", ".join(f'"{c}"' for c in columns)
     assert rows == sorted(repr(r) for r in tables.execute(f"SELECT {quoted} FROM ({queries.oracle_sql()[name]})").fetchall())
+
+
+def test_quads_of_program_seven_are_counted_without_a_sort(spark):
+    """A sort of all quads by predicate would spill many times the input."""
+    plan = queries.queries()["program_seven"](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    above = plan[: plan.index("Generate")]
+    assert "SortAggregate" not in above and above.count("ObjectHashAggregate") == 2
